@@ -1,0 +1,47 @@
+"""Stateful operators for keyed streams."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+TAGGED = (
+    "event_id string, seq bigint, received_us bigint, project string, fingerprint string, level string, "
+    "timestamp double, type string, culprit string, title string, accepted boolean, "
+    "issue_project string, issue_fingerprint string"
+)
+
+
+class FirstDelivery(StatefulProcessor):
+    """Keyed by event_id: remembers the issue of the first-arrived delivery for ever.
+
+    Rows are passed on as they come; none is buffered but the earliest so far.  Redeliveries of an
+    id that is new in this micro-batch leave with an empty issue key, because the winner is known
+    only at the end; the caller fills it in from the accepted rows of the same micro-batch.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._issue = handle.getValueState("issue", "project string, fingerprint string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if self._issue.exists():
+            project, fingerprint = self._issue.get()
+            for row in rows:
+                yield Row(*row, False, project, fingerprint)
+            return
+        best = None
+        for row in rows:
+            if best is None:
+                best = row
+            elif (row.received_us, row.seq) < (best.received_us, best.seq):
+                yield Row(*best, False, None, None)
+                best = row
+            else:
+                yield Row(*row, False, None, None)
+        self._issue.update((best.project, best.fingerprint))
+        yield Row(*best, True, best.project, best.fingerprint)
+
+    def close(self) -> None:
+        pass
