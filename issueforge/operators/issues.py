@@ -9,6 +9,7 @@ from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules, with_
 from issueforge.plans.skew import attach, salt, salts_seen
 from issueforge.plans.slices import arrival_number
 from issueforge.schema import ARRIVAL, DEFAULT_STATUS, STATUSES
+from issueforge.session import materialize
 
 # What grouping needs of an envelope.  Payload columns stay out of the shuffles.
 NARROW = (
@@ -100,8 +101,12 @@ def merge_partials(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def number_issues(rollup: DataFrame) -> DataFrame:
-    """D3: ids 1..n in order of first arrival."""
-    return arrival_number(rollup, "first_received_us", "first_seq", "id")
+    """D3: ids 1..n in order of first arrival.
+
+    The rollup is written out first: numbering reads it on three branches, and none of them should
+    run the fingerprints again.
+    """
+    return arrival_number(materialize(rollup, "rollup"), "first_received_us", "first_seq", "id")
 
 
 def issues_of(rows: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def attach_breadcrumbs(
         ranked.filter("_is_crumb = 1")
         .withColumn("_block", F.explode(F.array(own_block, own_block + 1)))
         .groupBy("client", "_block")
-        .agg(F.sort_array(F.collect_list(F.struct("_rank", "_crumb"))).alias("_packed"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "_crumb")), lambda a, b: (a["_rank"] - b["_rank"]).cast("int")).alias("_packed"))
     )
     asks = (
         ranked.filter("_is_crumb = 0")

@@ -6,6 +6,8 @@ Documents are read as VARIANT because an absent key (takes the default) and an e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from issueforge.schema import (
     DEFAULT_LEVEL,
     DEFAULT_PLATFORM,
     DEFAULT_PROJECT,
-    ENVELOPE_FIELDS,
     EVENT_ID_PATTERN,
+    EXCEPTION_TYPE,
+    EXCEPTION_VALUE_TYPE,
     FRAME_TYPE,
     LEVELS,
 )
@@ -113,41 +116,63 @@ def _both(checks: list[Column]) -> Column:
     return ok
 
 
+def _checked(ok: Column, value: Column) -> Column:
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value.alias("v"))
+
+
+def _field(check: Callable[[Column], Checked | Column], x: Column) -> Column:
+    """struct<ok, v>; nested checks return it directly, scalar ones as a pair."""
+    result = check(x)
+    return result if isinstance(result, Column) else _checked(*result)
+
+
 def _record(x: Column, fields: dict, target: str) -> Column:
     """struct<ok, v> of an object's fields; ok is false for anything but an object."""
 
+    def combine(m: Column, r: Column) -> Column:
+        ok = m.isNotNull()
+        for name in fields:
+            ok = ok & r[name]["ok"]
+        return _checked(ok, F.struct(*[r[name]["v"].alias(name) for name in fields]).cast(target))
+
     def build(m: Column) -> Column:
-        done = {name: check(_key(m, name)) for name, check in fields.items()}
-        ok = _both([m.isNotNull(), *[d[0] for d in done.values()]])
-        value = F.struct(*[d[1].alias(name) for name, d in done.items()]).cast(target)
-        return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value.alias("v"))
+        parts = F.struct(*[_field(check, _key(m, name)).alias(name) for name, check in fields.items()])
+        return bind(parts, lambda r: combine(m, r))
 
     return bind(_as(x, OBJECT), build)
 
 
-def _records(x: Column, fields: dict, target: str) -> Checked:
+def _records(x: Column, fields: dict, target: str) -> Column:
     """A list of objects that may be absent (empty) but not null."""
     items = F.transform(_as(x, LIST), lambda item: _record(item, fields, target))
-    fine = F.forall(items, lambda r: r["ok"])
-    return (
-        x.isNull() | F.coalesce(fine, F.lit(False)),
-        F.coalesce(F.transform(items, lambda r: r["v"]), F.array().cast(f"array<{target}>")),
+    return bind(
+        items,
+        lambda done: _checked(
+            x.isNull() | F.coalesce(F.forall(done, lambda r: r["ok"]), F.lit(False)),
+            F.coalesce(F.transform(done, lambda r: r["v"]), F.array().cast(f"array<{target}>")),
+        ),
     )
 
 
+def _optional(x: Column, record: Column) -> Column:
+    """An object that may be absent or null."""
+    return bind(record, lambda r: _checked(r["ok"] | _absent(x, True), F.when(r["ok"], r["v"])))
+
+
 def _dict(x: Column) -> Checked:
     is_dict = _as(x, OBJECT).isNotNull()
     return x.isNull() | is_dict, F.coalesce(F.when(is_dict, x), F.parse_json(F.lit("{}")))
 
 
-def _tags(x: Column) -> Checked:
-    entries = _as(x, OBJECT)
-    fine = F.forall(F.map_values(entries), lambda v: _kind(v) == "STRING")
-    return (
-        x.isNull() | F.coalesce(fine, F.lit(False)),
-        F.coalesce(
-            F.transform_values(entries, lambda _, v: _as(v, "string")),
-            F.create_map().cast("map<string,string>"),
+def _tags(x: Column) -> Column:
+    return bind(
+        _as(x, OBJECT),
+        lambda entries: _checked(
+            x.isNull() | F.forall(F.map_values(entries), lambda v: _kind(v) == "STRING"),
+            F.coalesce(
+                F.transform_values(entries, lambda _, v: _as(v, "string")),
+                F.create_map().cast("map<string,string>"),
+            ),
         ),
     )
 
@@ -157,67 +182,66 @@ _FRAME = {
     "in_app": flag, "context_line": text,
 }
 _CRUMB = {"timestamp": number, "category": text, "message": text, "level": text, "data": _dict}
+_TRACE_TYPE = f"struct<frames:array<{FRAME_TYPE}>>"
 
 
-def _optional(x: Column, record: Column) -> Checked:
-    """An object that may be absent or null."""
-    return F.coalesce(record["ok"], F.lit(False)) | _absent(x, True), F.when(record["ok"], record["v"])
-
-
-def _stacktrace(x: Column) -> Checked:
-    frames = {"frames": lambda f: _records(f, _FRAME, FRAME_TYPE)}
-    return _optional(x, _record(x, frames, f"struct<frames:array<{FRAME_TYPE}>>"))
+def _stacktrace(x: Column) -> Column:
+    return _optional(x, _record(x, {"frames": lambda f: _records(f, _FRAME, FRAME_TYPE)}, _TRACE_TYPE))
 
 
-_VALUE_TYPE = f"struct<type:string,value:string,stacktrace:struct<frames:array<{FRAME_TYPE}>>>"
 _VALUE = {"type": text, "value": text, "stacktrace": _stacktrace}
 
 
 def _exception(x: Column) -> Column:
-    values = {"values": lambda v: _records(v, _VALUE, _VALUE_TYPE)}
-    return _record(x, values, f"struct<values:array<{_VALUE_TYPE}>>")
+    values = {"values": lambda v: _records(v, _VALUE, EXCEPTION_VALUE_TYPE)}
+    return _optional(x, _record(x, values, EXCEPTION_TYPE))
 
 
-_TEXT_OPTIONAL = ("logger", "release", "environment", "server_name", "transaction", "message")
-_TEXT_DEFAULTS = {"platform": DEFAULT_PLATFORM, "level": DEFAULT_LEVEL, "project": DEFAULT_PROJECT}
+def _defaulted(default: str) -> Callable[[Column], Checked]:
+    def check(x: Column) -> Checked:
+        fine, value = text(x, nullable=False)
+        return fine, F.when(x.isNull(), default).otherwise(value)
 
+    return check
 
-def parsed(deliveries: DataFrame) -> DataFrame:
-    """V1 + V6: add the typed envelope columns and ``_wrong``, the names of badly typed fields.
 
-    Defaults fill absent keys only.
+_ENVELOPE = {
+    "event_id": lambda x: text(x, nullable=False),
+    "timestamp": lambda x: number(x, nullable=False),
+    "platform": _defaulted(DEFAULT_PLATFORM),
+    "level": _defaulted(DEFAULT_LEVEL),
+    "project": _defaulted(DEFAULT_PROJECT),
+    "logger": text,
+    "release": text,
+    "environment": text,
+    "server_name": text,
+    "transaction": text,
+    "message": text,
+    "exception": _exception,
+    "tags": _tags,
+    "breadcrumbs": lambda x: _records(x, _CRUMB, BREADCRUMB_TYPE),
+    "extra": _dict,
+}
+
+
+def parsed(deliveries: DataFrame) -> DataFrame:
+    """V1 + V6: add the typed envelope columns, ``_is_object`` and ``_wrong``, the names of badly
+    typed fields.  Defaults fill absent keys only.  Every value is decoded once.
     """
-    keys = deliveries.withColumn("_doc", _as(F.try_parse_json("raw"), OBJECT)).select(
-        "seq", "received_us", "raw", F.col("_doc").isNotNull().alias("_is_object"),
-        *[_key(F.col("_doc"), name).alias(f"_{name}") for name in ENVELOPE_FIELDS],
-    )
-    # the three deep fields are decoded once, into struct<ok, v>
-    deep = keys.withColumn("_exc", _exception(F.col("_exception")))
-    crumbs = _records(F.col("_breadcrumbs"), _CRUMB, BREADCRUMB_TYPE)
-    deep = deep.withColumn("_crumbs", F.struct(crumbs[0].alias("ok"), crumbs[1].alias("v")))
-
-    checks: dict[str, Checked] = {
-        "event_id": text(F.col("_event_id"), nullable=False),
-        "timestamp": number(F.col("_timestamp"), nullable=False),
-        "exception": _optional(F.col("_exception"), F.col("_exc")),
-        "tags": _tags(F.col("_tags")),
-        "breadcrumbs": (F.col("_crumbs.ok"), F.col("_crumbs.v")),
-        "extra": _dict(F.col("_extra")),
-    }
-    for name in _TEXT_OPTIONAL:
-        checks[name] = text(F.col(f"_{name}"))
-    for name, default in _TEXT_DEFAULTS.items():
-        fine, value = text(F.col(f"_{name}"), nullable=False)
-        checks[name] = (fine, F.when(F.col(f"_{name}").isNull(), default).otherwise(value))
-    wrong = F.array_compact(
-        F.array(*[F.when(~checks[name][0], F.lit(name)) for name in ENVELOPE_FIELDS])
+    rows = deliveries.select(
+        "seq", "received_us", "raw", _as(F.try_parse_json("raw"), OBJECT).alias("_doc")
     )
-    return deep.select(
-        "seq", "received_us", "raw", "_is_object", wrong.alias("_wrong"),
-        *[checks[name][1].alias(name) for name in ENVELOPE_FIELDS],
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"_e.{n}.ok"), F.lit(n)) for n in _ENVELOPE]))
+    return rows.withColumn("_e", bind(F.col("_doc"), _envelope)).select(
+        "seq", "received_us", "raw", F.col("_doc").isNotNull().alias("_is_object"), wrong.alias("_wrong"),
+        *[F.col(f"_e.{n}.v").alias(n) for n in _ENVELOPE],
     )
 
 
+def _envelope(m: Column) -> Column:
+    return F.struct(*[_field(check, _key(m, n)).alias(n) for n, check in _ENVELOPE.items()])
+
+
 def valid_event_id(event_id: Column) -> Column:
     """V2; (?d) makes ``$`` accept one trailing line feed and nothing else."""
     return event_id.rlike("(?d)" + EVENT_ID_PATTERN)

@@ -14,6 +14,10 @@ TAGGED = (
 )
 
 
+def tagged(row: Row, accepted: bool, project: str | None = None, fingerprint: str | None = None) -> Row:
+    return Row(**row.asDict(), accepted=accepted, issue_project=project, issue_fingerprint=fingerprint)
+
+
 class FirstDelivery(StatefulProcessor):
     """Keyed by event_id: remembers the issue of the first-arrived delivery for ever.
 
@@ -29,19 +33,19 @@ class FirstDelivery(StatefulProcessor):
         if self._issue.exists():
             project, fingerprint = self._issue.get()
             for row in rows:
-                yield Row(*row, False, project, fingerprint)
+                yield tagged(row, False, project, fingerprint)
             return
         best = None
         for row in rows:
             if best is None:
                 best = row
             elif (row.received_us, row.seq) < (best.received_us, best.seq):
-                yield Row(*best, False, None, None)
+                yield tagged(best, False)
                 best = row
             else:
-                yield Row(*row, False, None, None)
+                yield tagged(row, False)
         self._issue.update((best.project, best.fingerprint))
-        yield Row(*best, True, best.project, best.fingerprint)
+        yield tagged(best, True, best.project, best.fingerprint)
 
     def close(self) -> None:
         pass
