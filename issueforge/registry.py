@@ -6,10 +6,12 @@ need error events run on deliveries derived from the whole ``events`` table (`so
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from issueforge.functions import fingerprint as fp
 from issueforge.functions import sql as sql_functions
@@ -31,7 +33,15 @@ CRUMBS_KEPT = 5
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    """Register; counts and positions leave as BIGINT like those of any SQL engine."""
+
+    @functools.wraps(function)
+    def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+        result = function(spark, sf_dir)
+        small = [f.name for f in result.schema if isinstance(f.dataType, IntegerType)]
+        return result.withColumns({name: F.col(name).cast("bigint") for name in small})
+
+    QUERIES[function.__name__] = widened
     return function
 
 

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules
 from issueforge.operators import alerts as alert_ops
@@ -23,7 +24,7 @@ from issueforge.operators import issues as issue_ops
 from issueforge.operators.alerts import EVAL_KEY, AlertRules
 from issueforge.plans.skew import attach, salt, salts_seen
 from issueforge.sources import envelopes
-from issueforge.streaming.processors import TAGGED, FirstDelivery
+from issueforge.streaming.processors import ISSUE_STATE, TAGGED, tag_deliveries
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SNAPSHOT = (
@@ -89,8 +90,8 @@ def start_ingest(
 def tagged_stream(stream: DataFrame, rules: GroupingRules = DEFAULT_RULES) -> DataFrame:
     """ST2: every valid delivery, tagged accepted or redelivered, with exact unbounded history."""
     narrow = issue_ops.fingerprinted(envelopes.accepted(stream), rules)
-    return narrow.groupBy("event_id").transformWithState(
-        statefulProcessor=FirstDelivery(), outputStructType=TAGGED, outputMode="Append", timeMode="None"
+    return narrow.groupBy("event_id").applyInPandasWithState(
+        tag_deliveries, TAGGED, ISSUE_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 

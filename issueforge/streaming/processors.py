@@ -1,12 +1,13 @@
-"""Stateful operators for keyed streams."""
+"""Keyed state for streams."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+import pandas as pd
+from pyspark.sql.streaming.state import GroupState
 
+ISSUE_STATE = "project string, fingerprint string"
 TAGGED = (
     "event_id string, seq bigint, received_us bigint, project string, fingerprint string, level string, "
     "timestamp double, type string, culprit string, title string, accepted boolean, "
@@ -14,38 +15,28 @@ TAGGED = (
 )
 
 
-def tagged(row: Row, accepted: bool, project: str | None = None, fingerprint: str | None = None) -> Row:
-    return Row(**row.asDict(), accepted=accepted, issue_project=project, issue_fingerprint=fingerprint)
+def tag_deliveries(
+    key: tuple[str], chunks: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """State per event_id: the issue of its first-arrived delivery, kept for ever.
 
-
-class FirstDelivery(StatefulProcessor):
-    """Keyed by event_id: remembers the issue of the first-arrived delivery for ever.
-
-    Rows are passed on as they come; none is buffered but the earliest so far.  Redeliveries of an
-    id that is new in this micro-batch leave with an empty issue key, because the winner is known
-    only at the end; the caller fills it in from the accepted rows of the same micro-batch.
+    Rows are passed on chunk by chunk; only the earliest one so far is held back.  Redeliveries of
+    an id that is new in this micro-batch leave with an empty issue key, because the winner is
+    known only at the end; the caller fills it in from the accepted rows of the same micro-batch.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._issue = handle.getValueState("issue", "project string, fingerprint string")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self._issue.exists():
-            project, fingerprint = self._issue.get()
-            for row in rows:
-                yield tagged(row, False, project, fingerprint)
-            return
-        best = None
-        for row in rows:
-            if best is None:
-                best = row
-            elif (row.received_us, row.seq) < (best.received_us, best.seq):
-                yield tagged(best, False)
-                best = row
-            else:
-                yield tagged(row, False)
-        self._issue.update((best.project, best.fingerprint))
-        yield tagged(best, True, best.project, best.fingerprint)
-
-    def close(self) -> None:
-        pass
+    if state.exists:
+        project, fingerprint = state.get
+        for chunk in chunks:
+            yield chunk.assign(accepted=False, issue_project=project, issue_fingerprint=fingerprint)
+        return
+    best = None
+    for chunk in chunks:
+        rows = chunk if best is None else pd.concat([best, chunk], ignore_index=True)
+        if len(rows) > 1:
+            rows = rows.sort_values(["received_us", "seq"])
+            yield rows.iloc[1:].assign(accepted=False, issue_project=None, issue_fingerprint=None)
+        best = rows.iloc[:1]
+    if best is not None:
+        project, fingerprint = best["project"].iloc[0], best["fingerprint"].iloc[0]
+        state.update((project, fingerprint))
+        yield best.assign(accepted=True, issue_project=project, issue_fingerprint=fingerprint)
