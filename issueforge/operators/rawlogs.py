@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from issueforge.functions.stack import parse_stack
 from issueforge.functions.text import blank
@@ -71,8 +72,10 @@ def attach_breadcrumbs(
     sliced running count and are packed into blocks of at most 2 x ``last`` neighbours; an event
     reads the one block its rank falls into.  A busy client's events are spread over salts.
     """
+    element = crumbs.select(crumb.alias("_crumb")).schema["_crumb"].dataType
+    none = F.array().cast(ArrayType(element, True))
     if last <= 0:
-        return events.withColumn(out, F.filter(F.array(crumb), lambda _: F.lit(False)))
+        return events.withColumn(out, none)
     points = crumbs.select("client", "seq", F.lit(1).cast("bigint").alias("_is_crumb"), crumb.alias("_crumb")).unionByName(
         events.select("client", "seq", F.lit(0).cast("bigint").alias("_is_crumb")), allowMissingColumns=True
     )
@@ -102,11 +105,9 @@ def attach_breadcrumbs(
             lambda c: c["_crumb"],
         ).alias("_found"),
     )
-    none = F.filter(F.array(crumb), lambda _: F.lit(False))
-    element = crumbs.select(none.alias("x")).schema["x"].dataType
     return (
         events.drop(out)
         .join(filled, ["client", "seq"], "left")
-        .withColumn(out, F.coalesce("_found", F.array().cast(element)))
+        .withColumn(out, F.coalesce("_found", none))
         .drop("_found")
     )
