@@ -29,25 +29,39 @@ TOP_LEVEL = "Object.<anonymous>"
 # ---- end of fixed values -----------------------------------------------------------------------
 
 
+SEPARATOR = "\x01"
+
+
 def _trim(value: Column) -> Column:
     return F.btrim(value, F.lit(JS_TRIM))
 
 
 def stack_lines(stack: Column) -> Column:
     """Frame lines of a stack text, oldest call first; empty for a NULL stack."""
-    lines = F.filter(F.split(stack, "\n"), lambda line: line.rlike(FRAME_LINE))
+    lines = F.filter(F.split(stack, "\n"), lambda line: line.contains(":") & line.rlike(FRAME_LINE))
     return F.coalesce(F.reverse(lines), F.array().cast("array<string>"))
 
 
+def _groups(line: Column) -> Column:
+    """The pattern's four groups with one match instead of four.
+
+    The groups are joined by a control character; a line that contains it is matched per group.
+    """
+    joined = F.regexp_replace(line, FRAME_LINE, f"$1{SEPARATOR}$2{SEPARATOR}$3{SEPARATOR}$4")
+    return F.when(
+        ~line.contains(SEPARATOR), F.split(joined, SEPARATOR)
+    ).otherwise(F.array(*[F.regexp_extract(line, FRAME_LINE, g) for g in (1, 2, 3, 4)]))
+
+
 def raw_frames(stack: Column) -> Column:
     """array<struct<function,file,lineno,colno>> as written, the file without its scheme."""
     return F.transform(
-        stack_lines(stack),
-        lambda line: F.struct(
-            _trim(F.regexp_extract(line, FRAME_LINE, 1)).alias("function"),
-            F.regexp_replace(_trim(F.regexp_extract(line, FRAME_LINE, 2)), FILE_SCHEME, "").alias("file"),
-            F.regexp_extract(line, FRAME_LINE, 3).try_cast("bigint").alias("lineno"),
-            F.regexp_extract(line, FRAME_LINE, 4).try_cast("bigint").alias("colno"),
+        F.transform(stack_lines(stack), _groups),
+        lambda g: F.struct(
+            _trim(g[0]).alias("function"),
+            F.regexp_replace(_trim(g[1]), FILE_SCHEME, "").alias("file"),
+            g[2].try_cast("bigint").alias("lineno"),
+            g[3].try_cast("bigint").alias("colno"),
         ),
     )
 

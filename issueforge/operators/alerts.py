@@ -60,17 +60,22 @@ def rolling_counts(
     """
     if "_context" not in evals.columns:
         evals = evals.withColumn("_context", F.lit(False))
-    up = F.col("accepted").cast("bigint")
-    arrivals = evals.select(
-        *EVAL_KEY, F.col("received_us").alias("_t"), F.lit(0).alias("_leaves"), "seq", up.alias("_delta"),
-        "_context",
-    )
-    expiries = evals.filter("accepted").select(
-        *EVAL_KEY, (F.col("received_us") + F.lit(window_us)).alias("_t"), F.lit(1).alias("_leaves"),
-        "seq", F.lit(-1).cast("bigint").alias("_delta"), F.lit(True).alias("_context"),
-    )
+    arrival = F.struct(
+        F.col("received_us").alias("_t"),
+        F.lit(0).alias("_leaves"),
+        F.col("accepted").cast("bigint").alias("_delta"),
+        F.col("_context"),
+    )
+    expiry = F.struct(
+        (F.col("received_us") + F.lit(window_us)).alias("_t"),
+        F.lit(1).alias("_leaves"),
+        F.lit(-1).cast("bigint").alias("_delta"),
+        F.lit(True).alias("_context"),
+    )
+    both = F.when(F.col("accepted"), F.array(arrival, expiry)).otherwise(F.array(arrival))
+    points = evals.select(*EVAL_KEY, "seq", F.explode_outer(both).alias("_p")).select(*EVAL_KEY, "seq", "_p.*")
     order = ["_t", "_leaves", "seq"]
-    points = arrivals.unionByName(expiries).withColumn("_slice", slice_of("_t", slice_us))
+    points = points.withColumn("_slice", slice_of("_t", slice_us))
     inside = Window.partitionBy(*EVAL_KEY, "_slice").orderBy(*order)
     own = points.withColumn("_own", F.sum("_delta").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     is_arrival = ~F.col("_context")

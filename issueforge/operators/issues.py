@@ -159,12 +159,14 @@ def unseen(batch: DataFrame, stored_ids: DataFrame) -> DataFrame:
     return dedupe(batch).join(stored_ids.select("event_id").distinct(), "event_id", "left_anti")
 
 
-def delivery_results(rows: DataFrame, issues: DataFrame, fired: DataFrame) -> DataFrame:
-    """Id, issue_id, fingerprint, new_issue and fired rules for every valid delivery."""
+def delivery_results(evals: DataFrame, issues: DataFrame, fired: DataFrame) -> DataFrame:
+    """Id, issue_id, fingerprint, new_issue and fired rules for every valid delivery.
+
+    ``evals`` are `attributed` deliveries; each carries its own fingerprint.
+    """
     resolved = with_issue(
-        attributed(rows), issues, "issue_project", "issue_fingerprint",
-        F.col("id").alias("issue_id"), "first_seq",
-    )
+        evals, issues, "issue_project", "issue_fingerprint", F.col("id").alias("issue_id"), "first_seq"
+    )
     rules = fired.groupBy("seq").agg(F.sort_array(F.collect_set("rule")).alias("_rules"))
     return (
         resolved.join(rules, "seq", "left")

@@ -182,6 +182,13 @@ def json_array(column: Column) -> Column:
     return F.array_join(column, "\n")
 
 
+def each_frame(rows: DataFrame, frames: Column) -> DataFrame:
+    """seq, position, f.  The outer form keeps the optimizer from adding a "has elements" filter
+    below, which would compute the array a second time.
+    """
+    return rows.select("seq", F.posexplode_outer(frames).alias("position", "f")).filter("position IS NOT NULL")
+
+
 # ---- sources, sinks ------------------------------------------------------------------------------
 
 
@@ -326,7 +333,7 @@ def culprit(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def frame_in_app(spark: SparkSession, sf: str) -> DataFrame:
     """P5: the decision for every frame."""
-    frames = fp.with_signatures(derived.deliveries(spark, sf)).select("seq", F.posexplode("_signatures").alias("position", "f"))
+    frames = each_frame(fp.with_signatures(derived.deliveries(spark, sf)), F.col("_signatures"))
     return frames.select("seq", "position", fp.in_app(F.col("f.flag"), F.col("f.module")).alias("in_app"))
 
 
@@ -341,7 +348,7 @@ def select_frames(spark: SparkSession, sf: str) -> DataFrame:
 def frame_signature(spark: SparkSession, sf: str) -> DataFrame:
     """P7"""
     rows = fp.with_signatures(derived.deliveries(spark, sf))
-    return rows.select("seq", F.posexplode("_signatures").alias("position", "f")).select(
+    return each_frame(rows, F.col("_signatures")).select(
         "seq", "position", F.concat(F.col("f.module"), F.lit(":"), F.col("f.function")).alias("signature")
     )
 
@@ -405,11 +412,9 @@ def normalize_module(spark: SparkSession, sf: str) -> DataFrame:
     urls = derived.table(spark, sf, "pages").select(
         F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("key"), F.col("url").alias("path")
     )
-    frames = derived.deliveries(spark, sf).select(
-        "seq", F.posexplode(fp.picked_exception(F.col("exception"))["stacktrace"]["frames"]).alias("i", "f")
-    )
+    frames = each_frame(derived.deliveries(spark, sf), fp.picked_exception(F.col("exception"))["stacktrace"]["frames"])
     paths = frames.select(
-        F.concat(F.lit("frame"), F.col("seq").cast("string"), F.lit("/"), F.col("i").cast("string")).alias("key"),
+        F.concat(F.lit("frame"), F.col("seq").cast("string"), F.lit("/"), F.col("position").cast("string")).alias("key"),
         F.col("f.filename").alias("path"),
     )
     return urls.unionByName(paths).select("key", text.normalize_module(F.col("path")).alias("normalized"))
@@ -527,11 +532,9 @@ def window_count_asof(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def delivery_results(spark: SparkSession, sf: str) -> DataFrame:
     """D7"""
-    rows = narrow_once(spark, sf).select(*issues.NARROW)
-    numbered = materialize(issues.issues_of(rows), "issues")
-    evals = issues.attributed(rows.select("event_id", "seq", "received_us", "project", "fingerprint"))
-    fired = alerts.alerts(evals, numbered, ALERT_RULES)
-    return issues.delivery_results(rows.select("event_id", "seq", "received_us", "project", "fingerprint"), numbered, fired)
+    evals, numbered = _alert_inputs(spark, sf)
+    evals, numbered = materialize(evals, "evals"), materialize(numbered, "issues")
+    return issues.delivery_results(evals, numbered, alerts.alerts(evals, numbered, ALERT_RULES))
 
 
 # ---- alerts ------------------------------------------------------------------------------------------
@@ -546,7 +549,7 @@ def alerts_new_issue(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rolling_issue_count(spark: SparkSession, sf: str) -> DataFrame:
     """A2"""
-    rows = narrow(spark, sf).select("event_id", "seq", "received_us", "project", "fingerprint")
+    rows = narrow_once(spark, sf).select("event_id", "seq", "received_us", "project", "fingerprint")
     return alerts.rolling_counts(issues.attributed(rows), ALERT_RULES.window_us).select(
         "issue_project", "issue_fingerprint", "seq", "accepted", "window_count", "previous_count"
     )
@@ -715,7 +718,7 @@ def metric_summary_halfup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_stack(spark: SparkSession, sf: str) -> DataFrame:
     """B1: every raw frame, oldest call first."""
-    frames = raw_logs(spark, sf).select("seq", F.posexplode(stack_functions.raw_frames(F.col("stack"))).alias("position", "f"))
+    frames = each_frame(raw_logs(spark, sf), stack_functions.raw_frames(F.col("stack")))
     return frames.select("seq", "position", "f.*")
 
 
@@ -723,7 +726,7 @@ def parse_stack(spark: SparkSession, sf: str) -> DataFrame:
 def frame_attributes(spark: SparkSession, sf: str) -> DataFrame:
     """B2"""
     parsed = stack_functions.parse_stack(F.col("stack"), F.col("app_root"))
-    frames = raw_logs(spark, sf).select("seq", F.posexplode(parsed).alias("position", "f"))
+    frames = each_frame(raw_logs(spark, sf), parsed)
     return frames.select("seq", "position", "f.function", "f.filename", "f.lineno", "f.colno", "f.in_app")
 
 

@@ -14,7 +14,18 @@ from issueforge.schema import BREADCRUMB_TYPE, EXCEPTION_TYPE, FRAME_TYPE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits.
+
+    A scan with at least one split per core, which is any large table, is left as it is; below
+    that the raw columns are redistributed once so that the expression-heavy stage after it is
+    not confined to a few tasks.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def wall_micros(df: DataFrame, column: str) -> Column:

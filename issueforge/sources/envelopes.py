@@ -228,7 +228,7 @@ def parsed(deliveries: DataFrame) -> DataFrame:
     """V1 + V6: add the typed envelope columns, ``_is_object`` and ``_wrong``, the names of badly
     typed fields.  Defaults fill absent keys only.
 
-    The decoded document leaves a one-row `explode`: later filters on its fields (valid rows only)
+    The decoded document leaves a one-row `explode_outer`: later filters on its fields (valid rows only)
     stop there, whereas they would be pushed through a projection and repeat the whole decoding.
     """
     rows = deliveries.select(
@@ -236,7 +236,7 @@ def parsed(deliveries: DataFrame) -> DataFrame:
     )
     wrong = F.array_compact(F.array(*[F.when(~F.col(f"_d.e.{n}.ok"), F.lit(n)) for n in _ENVELOPE]))
     decoded = rows.select(
-        "seq", "received_us", "raw", F.explode(F.array(F.struct(F.col("_doc").isNotNull().alias("whole"), bind(F.col("_doc"), _envelope).alias("e")))).alias("_d")
+        "seq", "received_us", "raw", F.explode_outer(F.array(F.struct(F.col("_doc").isNotNull().alias("whole"), bind(F.col("_doc"), _envelope).alias("e")))).alias("_d")
     )
     return decoded.select(
         "seq", "received_us", "raw", F.col("_d.whole").alias("_is_object"), wrong.alias("_wrong"),

@@ -69,7 +69,7 @@ def test_against_sequential_model(spark, seed, window, slice_us, hot):
     rules = AlertRules(threshold=threshold, window_seconds=window / 1e6)
     feed = alerts.firing_order(alerts.alerts(evals, numbered, rules))
     assert [(r.seq, r.rule, r.issue_id) for r in feed.collect()] == fired
-    results = issues.delivery_results(df, numbered, feed).orderBy("seq").collect()
+    results = issues.delivery_results(evals, numbered, feed).orderBy("seq").collect()
     assert [tuple(r) for r in results] == [w[:6] for w in wanted]
 
 
