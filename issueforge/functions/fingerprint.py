@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from issueforge.functions.text import (
     UNKNOWN_MODULE,
     anchor_path,
+    bind,
     blank,
     clean_path,
     non_blank,
@@ -102,6 +103,29 @@ def with_signatures(df: DataFrame, rules: GroupingRules = DEFAULT_RULES) -> Data
     )
 
 
+def stack_summary(frames: Column, rules: GroupingRules = DEFAULT_RULES) -> Column:
+    """struct<present, components, culprit> of a frame array, in one expression.
+
+    The intermediate arrays stay inside it instead of being written out between projections.
+    """
+
+    def summary(signatures: Column, chosen: Column) -> Column:
+        top = F.try_element_at(chosen, F.lit(-1))
+        return F.struct(
+            (F.size(signatures) > 0).alias("present"),
+            F.transform(chosen, lambda f: F.concat(f["module"], F.lit(":"), f["function"])).alias("components"),
+            F.concat(top["function"], F.lit(" ("), top["module"], F.lit(")")).alias("culprit"),
+        )
+
+    def selected(signatures: Column) -> Column:
+        return bind(
+            in_app_signatures(signatures, rules),
+            lambda kept: bind(selected_signatures(signatures, kept), lambda chosen: summary(signatures, chosen)),
+        )
+
+    return bind(frame_signatures(frames), selected)
+
+
 def title(exc_type: Column, exc_value: Column, message: Column) -> Column:
     """Display title: the exception, else the message's first characters."""
     value = strip(exc_value)
@@ -120,47 +144,32 @@ def with_fingerprint(df: DataFrame, rules: GroupingRules = DEFAULT_RULES) -> Dat
     """
     exc_type, exc_value = F.col("_exc.type"), F.col("_exc.value")
     tag = F.concat(F.lit("type:"), F.coalesce(non_blank(exc_type), F.lit(NO_TYPE)))
-    top = F.element_at("_selected", -1)
+    kind = F.col("kind")
     return (
-        with_signatures(df, rules)
+        df.withColumn("_exc", picked_exception(F.col("exception")))
+        .withColumn("_stack", stack_summary(F.col("_exc.stacktrace.frames"), rules))
         .withColumn(
             "kind",
-            F.when(F.size("_signatures") > 0, KIND_STACK)
+            F.when(F.col("_stack.present"), KIND_STACK)
             .when(~blank(exc_type) | ~blank(exc_value), KIND_TYPE)
             .otherwise(KIND_MESSAGE),
         )
-        .withColumn(
-            "_text",
-            F.when(F.col("kind") == KIND_TYPE, exc_value).when(
-                F.col("kind") == KIND_MESSAGE, F.col("message")
-            ),
-        )
+        .withColumn("_text", F.when(kind == KIND_TYPE, exc_value).when(kind == KIND_MESSAGE, F.col("message")))
         .withColumn("_text", normalize_message(F.col("_text")))
         .withColumn(
             "components",
-            F.when(
-                F.col("kind") == KIND_STACK,
-                F.concat(
-                    F.array(tag),
-                    F.transform("_selected", lambda f: F.concat(f["module"], F.lit(":"), f["function"])),
-                ),
-            )
-            .when(
-                F.col("kind") == KIND_TYPE, F.array(tag, F.concat(F.lit("value:"), F.col("_text")))
-            )
+            F.when(kind == KIND_STACK, F.concat(F.array(tag), F.col("_stack.components")))
+            .when(kind == KIND_TYPE, F.array(tag, F.concat(F.lit("value:"), F.col("_text"))))
             .otherwise(F.array(F.concat(F.lit("message:"), F.col("_text")))),
         )
         .withColumn("fingerprint", F.sha1(F.array_join("components", "\n")))
         .withColumn(
             "culprit",
-            F.when(
-                F.col("kind") == KIND_STACK,
-                F.concat(top["function"], F.lit(" ("), top["module"], F.lit(")")),
-            )
-            .when(F.col("kind") == KIND_TYPE, F.coalesce(non_blank(exc_type), F.lit(UNKNOWN_CULPRIT)))
+            F.when(kind == KIND_STACK, F.col("_stack.culprit"))
+            .when(kind == KIND_TYPE, F.coalesce(non_blank(exc_type), F.lit(UNKNOWN_CULPRIT)))
             .otherwise(F.coalesce(non_blank(F.col("transaction")), F.lit(MESSAGE_CULPRIT))),
         )
         .withColumn("type", exc_type)
         .withColumn("title", title(exc_type, exc_value, F.col("message")))
-        .drop("_exc", "_signatures", "_selected", "_text")
+        .drop("_exc", "_stack", "_text")
     )

@@ -14,7 +14,8 @@ JS_TRIM = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-JS_SPACE = r"[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# ASCII first, the rare rest behind one range test
+JS_SPACE = r"[\t-\r \xa0[\u1680-\ufeff&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]]]"
 JS_ANY = r"[^\n\r\u2028\u2029]"
 FRAME_LINE = (
     rf"^{JS_SPACE}*at{JS_SPACE}+(?:({JS_ANY}+?){JS_SPACE}+\()?({JS_ANY}+?):([0-9]+):([0-9]+)\)?{JS_SPACE}*\z"

@@ -156,7 +156,7 @@ def with_issue(
 
 def unseen(batch: DataFrame, stored_ids: DataFrame) -> DataFrame:
     """Deliveries whose event_id is not stored yet.  The batch side is deduplicated first."""
-    return dedupe(batch).join(stored_ids.select("event_id").distinct(), "event_id", "left_anti")
+    return dedupe(batch).join(stored_ids.select("event_id"), "event_id", "left_anti")
 
 
 def delivery_results(evals: DataFrame, issues: DataFrame, fired: DataFrame) -> DataFrame:

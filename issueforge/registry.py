@@ -400,7 +400,7 @@ def normalize_function(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 10 == 4, "async eval")
         .when(k % 10 == 5, " \t ")
         .when(k % 10 == 6, "?")
-        .when(k % 10 == 7, F.concat(F.lit(" async run"), F.col("user_id").cast("string"), F.lit("\n")))
+        .when(k % 10 == 7, F.concat(F.lit("\u00a0async run"), F.col("user_id").cast("string"), F.lit("\n")))
         .otherwise(F.concat(F.col("event_type"), k.cast("string")))
     )
     return base.select("seq", text.normalize_function(name).alias("normalized"))

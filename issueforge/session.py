@@ -38,12 +38,17 @@ def build_session(app: str, cores: str = "*", shuffle_partitions: int = 8, **con
     return spark
 
 
+_OWN_ROOT: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary folder only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="issueforge-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_ROOT:
+            _OWN_ROOT[application] = tempfile.mkdtemp(prefix="issueforge-")
+        root = _OWN_ROOT[application]
     return root.rstrip("/")
 
 

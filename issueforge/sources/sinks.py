@@ -33,8 +33,12 @@ def event_rows(resolved: DataFrame) -> DataFrame:
 
 
 def append_events(rows: DataFrame, path: str) -> None:
-    """Append below project=/day= folders, so that project and time filters prune files."""
-    rows.write.mode("append").partitionBy("project", "day").parquet(path)
+    """Append below project=/day= folders, so that project and time filters prune files.
+
+    The rebalance hint lets AQE gather each folder's rows into files of even size: small folders
+    share a task, a hot project's day is split over several.
+    """
+    rows.hint("rebalance", F.col("project"), F.col("day")).write.mode("append").partitionBy("project", "day").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
