@@ -59,7 +59,7 @@ def main() -> None:
     mixed = int(os.environ.get("BENCH_MIXED", "0"))
     if mixed:
         stream = generators.mixed_stream(spark.range(mixed).select(F.col("id").alias("seq")))
-        stored = materialize(stream, "mixed")
+        stored = materialize(stream.repartition(2 * int(cpus)), "mixed")
         spent = timed(lambda: issues.rollup_partials(issues.dedupe(issues.fingerprinted(stored))))
         result["mixed_stream"] = {"events": mixed, "sec": round(spent, 3), "events_per_sec": round(mixed / spent, 1)}
     print(json.dumps(result))
