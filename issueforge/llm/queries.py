@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import near_dup, packing
+from issueforge.llm import lm, near_dup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,12 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc32(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op10_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_pitman_yor_lm": op10_pitman_yor_lm,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
 }
