@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import lm, near_dup, packing
+from issueforge.llm import lm, near_dup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,13 @@ def op10_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model_scores(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_toxicity_severity": op8_toxicity_severity,
     "op10_pitman_yor_lm": op10_pitman_yor_lm,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
