@@ -29,6 +29,7 @@ CAPACITY = 2048
 CLASSES = 16  # the last is the class of short rests
 SLACK = 0.03  # a piece of at least (1 - SLACK) of its class's size is not cut
 END_ID = 1
+SLICE = 2 << 20
 
 PIECE = pa.schema(
     [
@@ -109,7 +110,7 @@ class _Worker:
     def take(self, number: int) -> pa.RecordBatch:
         doc, start, length, total, ids, sequence, offset, m, place, before = zip(*self.rows)
         self.rows = []
-        values = pa.array(np.concatenate(ids).astype(np.int32))
+        values = pa.array(np.concatenate(ids))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *length]), pa.int32()), values)
         columns = [doc, start, length, lists, total, sequence, offset, m, [number] * len(doc), place, before]
         return pa.RecordBatch.from_arrays(
@@ -120,11 +121,12 @@ class _Worker:
 def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, classes: int, slack: float) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId()
     worker, tokens = _Worker(number, capacity, classes, slack), encoder(path)
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    end = np.array([END_ID], dtype=np.int32)
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
-            for doc, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text").to_pylist())):
-                worker.add(doc, np.frombuffer(ids + end, dtype="<u4"))
+        for part in slices(batch, "text", SLICE):
+            ids, offsets = tokens.encode(part.column("text"))
+            for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
+                worker.add(doc, np.concatenate([ids[a:b], end]))
             if worker.rows:
                 yield worker.take(number)
     worker.leave()

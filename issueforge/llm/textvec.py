@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text bytes handled at once; bounds the numpy temporaries of a task
+SLICE_BYTES = 2 << 20  # text bytes handled at once; bounds the numpy temporaries of a task
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

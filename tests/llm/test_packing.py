@@ -5,20 +5,32 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from issueforge.llm import packing
-from issueforge.llm.tokens import ChunkEncoder, word_bpe_path
+from issueforge.llm.tokens import PartEncoder, word_bpe_path
 
-TEXTS = ["a <|endoftext|> b", "It's  don 't x　y", "e ́x", "İstanbul ΑΣ ΑΣ, x\u0085y", "​  a", " ", "", None, "42 x42"]
+TEXTS = ["a <|endoftext|> b", "<|ENDOFTEXT|>.", "x.<|startoftext|>y", "It's  don 't x　y", "e ́x", "İstanbul ΑΣ ΑΣ, x\u0085y", "​  a", " ", "", None, "42 x42"]
 
 
-def test_chunk_encoder_equals_whole_text():
-    whole, chunks = Tokenizer.from_file(word_bpe_path()), ChunkEncoder(word_bpe_path(), limit=3)
+def test_part_encoder_equals_whole_text():
+    whole, parts = Tokenizer.from_file(word_bpe_path()), PartEncoder(word_bpe_path(), limit=3)
     texts = TEXTS + [" ".join(t or "" for t in TEXTS)]
     for _ in range(2):
-        for text, ids in zip(texts, chunks.encode(texts)):
-            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids
+        ids, offsets = parts.encode(pa.array(texts))
+        for text, a, b in zip(texts, offsets, offsets[1:]):
+            assert ids[a:b].tolist() == whole.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_part_encoder_on_random_texts():
+    rng = random.Random(3)
+    whole, parts = Tokenizer.from_file(word_bpe_path()), PartEncoder(word_bpe_path())
+    signs = "aBcé×÷ßÀ日ıİ'sdtre.,!…\u0301 \u00a0\n12½-_<|>\u200bΣ"
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(3000)]
+    ids, offsets = parts.encode(pa.array(texts))
+    for text, a, b in zip(texts, offsets, offsets[1:]):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_cut_covers_everything():
