@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import lm, near_dup, packing, toxicity
+from issueforge.llm import line_dedup, lm, near_dup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,12 @@ def op8_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_severity": op8_toxicity_severity,
     "op10_pitman_yor_lm": op10_pitman_yor_lm,
     "op2_harmonic_packing": op2_harmonic_packing,
