@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import line_dedup, lm, near_dup, packing, toxicity
+from issueforge.llm import line_dedup, lm, near_dup, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +34,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_robust_quality": op6_robust_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_severity": op8_toxicity_severity,
     "op10_pitman_yor_lm": op10_pitman_yor_lm,
