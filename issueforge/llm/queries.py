@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import line_dedup, lm, near_dup, packing, quality, toxicity
+from issueforge.llm import line_dedup, lm, near_dup, packing, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +38,13 @@ def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_personal_data": op9_personal_data,
     "op6_robust_quality": op6_robust_quality,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity_severity": op8_toxicity_severity,
