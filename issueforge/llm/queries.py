@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import line_dedup, lm, near_dup, packing, pii, quality, toxicity
+from issueforge.llm import chat, line_dedup, lm, near_dup, packing, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,15 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.train(docs))
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digests(chat.format_conversations(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_windows": op3_chat_windows,
     "op9_personal_data": op9_personal_data,
     "op6_robust_quality": op6_robust_quality,
     "op7_line_dedup": op7_line_dedup,
