@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issueforge.llm.textvec import SPACE, scan, shingles, slices
-from issueforge.session import materialize
+from issueforge.llm.stages import stage
 
 SHARE = 0.75  # of a group's rows that the estimate must cover
 STEPS = 4
@@ -187,17 +187,17 @@ def estimates(
     low = np.array(floors)
     keys = ["lang", "source"]
     middle = lambda columns: F.array(*(F.percentile_approx(c, 0.5, 10_000) for c in columns))
-    modelled = lambda table, from_sums: materialize(
+    modelled = lambda table, from_sums: stage(
         table.mapInArrow(lambda b: _in_batches(b, low, from_sums), MODEL_DDL), "estimates"
     )
-    medians = materialize(vectors.groupBy(*keys).agg(middle(x).alias("median")), "medians")
+    medians = stage(vectors.groupBy(*keys).agg(middle(x).alias("median")), "medians")
     away = _attach(vectors, medians).select(
         *keys, "median", *(F.abs(F.col(c) - F.element_at("median", i + 1)).alias(c) for i, c in enumerate(x))
     )
     models = modelled(away.groupBy(*keys, "median").agg(middle(x).alias("deviation")), False)
     for _ in range(steps):
         placed = _attach(vectors, models).select(*keys, *x, _distance(x).alias("d"))
-        inner = materialize(placed.groupBy(*keys).agg(F.percentile_approx("d", share, 10_000).alias("most")), "cutoffs")
+        inner = stage(placed.groupBy(*keys).agg(F.percentile_approx("d", share, 10_000).alias("most")), "cutoffs")
         close = _attach(placed, inner).filter("d <= most")
         sums = close.groupBy(*keys).agg(
             F.count("*").alias("n"),
@@ -232,13 +232,15 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROW
     do null and rare sources; with fewer in all, every row that passes the base rules is kept.
     Repeated rows count each; further columns are ignored.
     """
-    counts = materialize(
+    counts = stage(
         statistics(docs).withColumn("base_failed", base_failed()).withColumns(dict(zip(DIMENSIONS, transformed()))), "statistics"
     )
     good = counts.filter("not base_failed").select("lang", "source", *DIMENSIONS)
-    large = materialize(good.groupBy("lang", "source").count().filter(F.col("count") >= least_rows).drop("count"), "groups")
+    large = stage(good.groupBy("lang", "source").count().filter(F.col("count") >= least_rows).drop("count"), "groups")
     own = estimates(_attach(good, large))
-    pooled = estimates(good.withColumns({"lang": F.lit("all"), "source": F.lit("all")})).first() if good.count() >= least_rows else None
+    # written, so that the joins below see columns and not constants
+    all_rows = stage(good.withColumns({"lang": F.lit("all"), "source": F.lit("all")}), "all-rows")
+    pooled = estimates(all_rows).first() if all_rows.count() >= least_rows else None
     g = own.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     on = counts["lang"].eqNullSafe(g["_lang"]) & counts["source"].eqNullSafe(g["_source"])
     rows = counts.join(g, on, "left")
