@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity
+from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_templates": op1_url_templates,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op3_chat_windows": op3_chat_windows,
     "op9_personal_data": op9_personal_data,
