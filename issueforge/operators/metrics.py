@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from issueforge.plans.skew import join_by_size
+from issueforge.plans.skew import join_by_size, keyed_join
 from issueforge.session import materialize
 
 PERCENTILES = {"p50": 50.0, "p95": 95.0, "p99": 99.0}
@@ -19,9 +19,9 @@ FINE_BUCKETS = 65_536
 
 
 def _coarse(value: Column) -> Column:
-    """A non-decreasing bucket number: about 1 % of the value wide."""
-    size = F.floor(F.log2(F.abs(value) + 1.0) * OCTAVE_BUCKETS).cast("bigint")
-    return F.when(value < 0, -size).otherwise(size)
+    """A non-decreasing bucket number: about 1 % of the value wide; NaN is above all numbers, as in Spark's order."""
+    size = F.least(F.floor(F.log2(F.abs(value) + 1.0) * OCTAVE_BUCKETS).cast("bigint"), F.lit(1 << 61))
+    return F.when(F.isnan(value), F.lit(1 << 62)).when(value < 0, -size).otherwise(size)
 
 
 def _fine(value: Column, low: Column, high: Column) -> Column:
@@ -110,7 +110,7 @@ def metric_summary(
         *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in PERCENTILES]
     )
     columns = ["min", *PERCENTILES, "max", "mean"]
-    result = totals.join(picked, keys)
+    result = keyed_join(totals, picked, keys)
     if not by:
         result = result.groupBy().agg(
             F.coalesce(F.max("n"), F.lit(0)).alias("n"),

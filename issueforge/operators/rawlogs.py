@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType
 
 from issueforge.functions.stack import parse_stack
 from issueforge.functions.text import blank
-from issueforge.plans.skew import attach, salt, salts_seen
+from issueforge.plans.skew import attach, keyed_join, salt, salts_seen
 from issueforge.plans.slices import running_total
 from issueforge.schema import BREADCRUMB_TYPE, DEFAULT_PLATFORM, DEFAULT_PROJECT, EXCEPTION_TYPE
 
@@ -94,7 +94,7 @@ def attach_breadcrumbs(
         .withColumn("_salt", salt("seq"))
     )
     present = asks.groupBy("client", "_block").agg(salts_seen().alias("_salts"))
-    filled = attach(asks, blocks.join(present, ["client", "_block"]), ["client", "_block"]).select(
+    filled = attach(asks, keyed_join(blocks, present, ["client", "_block"]), ["client", "_block"]).select(
         "client",
         "seq",
         F.transform(
@@ -106,8 +106,7 @@ def attach_breadcrumbs(
         ).alias("_found"),
     )
     return (
-        events.drop(out)
-        .join(filled, ["client", "seq"], "left")
+        keyed_join(events.drop(out), filled, ["client", "seq"], "left")
         .withColumn(out, F.coalesce("_found", none))
         .drop("_found")
     )

@@ -260,16 +260,18 @@ ORACLE: dict[str, str] = {
     "issue_upsert_incremental": f"WITH {ISS} SELECT {ROLL_FIELDS} FROM roll",
     "alert_outbox": f"""WITH {ALERTS} SELECT received_us, seq, CAST(rule_order AS BIGINT) AS rule_order, 'http://sink/hook' AS url,
       rule, issue_id, project, title, reason, "at" FROM feed""",
-    "envelope_defaults": f"""WITH {BROKEN} SELECT seq, 'node' AS platform, CASE WHEN broken = 2 THEN 'explode' ELSE level END AS level,
-      CASE WHEN broken = 5 THEN NULL WHEN broken = 7 AND lean THEN 'default' ELSE project END AS project,
-      CAST(CASE WHEN lean THEN 0 ELSE 1 END AS BIGINT) AS tags, CAST(0 AS BIGINT) AS breadcrumbs,
-      CASE WHEN lean THEN '{{}}' ELSE '{{"k":' || k || '}}' END AS extra FROM docs WHERE broken <> 6""",
-    "validate_event_id": f"WITH {BROKEN} SELECT seq, broken <> 1 AS valid FROM docs WHERE broken <> 6",
-    "validate_level": f"WITH {BROKEN} SELECT seq, broken <> 2 AS valid FROM docs WHERE broken <> 6",
-    "validate_timestamp": f"WITH {BROKEN} SELECT seq, broken <> 3 AS valid FROM docs WHERE broken <> 6",
-    "validate_payload": f"WITH {BROKEN} SELECT seq, broken <> 4 AS valid FROM docs WHERE broken <> 6",
-    "validate_types": f"""WITH {BROKEN} SELECT seq, CASE broken WHEN 5 THEN 'project' WHEN 8 THEN 'release' ELSE '' END AS wrong
-      FROM docs WHERE broken <> 6""",
+    "envelope_defaults": f"""WITH {BROKEN} SELECT seq, CASE WHEN broken <> 6 THEN 'node' END AS platform,
+      CASE broken WHEN 2 THEN 'explode' WHEN 6 THEN NULL ELSE level END AS level,
+      CASE WHEN broken IN (5, 6) THEN NULL WHEN broken = 7 AND lean THEN 'default' ELSE project END AS project,
+      CAST(CASE WHEN broken = 6 THEN NULL WHEN lean THEN 0 ELSE 1 END AS BIGINT) AS tags,
+      CAST(CASE WHEN broken <> 6 THEN 0 END AS BIGINT) AS breadcrumbs,
+      CASE WHEN broken = 6 THEN NULL WHEN lean THEN '{{}}' ELSE '{{"k":' || k || '}}' END AS extra FROM docs""",
+    "validate_event_id": f"WITH {BROKEN} SELECT seq, broken NOT IN (1, 6) AS valid FROM docs",
+    "validate_level": f"WITH {BROKEN} SELECT seq, broken NOT IN (2, 6) AS valid FROM docs",
+    "validate_timestamp": f"WITH {BROKEN} SELECT seq, broken NOT IN (3, 6) AS valid FROM docs",
+    "validate_payload": f"WITH {BROKEN} SELECT seq, broken NOT IN (4, 6) AS valid FROM docs",
+    "validate_types": f"""WITH {BROKEN} SELECT seq, CASE broken WHEN 5 THEN 'project' WHEN 8 THEN 'release' WHEN 6 THEN 'json' ELSE '' END AS wrong
+      FROM docs""",
     "validation_report": f"""WITH {BROKEN} SELECT CASE WHEN reason = '' THEN 'valid' ELSE reason END AS reason, count(*) AS rows
       FROM reasoned GROUP BY 1""",
     "issue_title": f"WITH {FP} SELECT seq, type, title FROM fp",
@@ -338,12 +340,18 @@ ORACLE: dict[str, str] = {
     "split_groups": f"""WITH {FP} SELECT split_part(true_label, '/', 1) AS true_label, count(DISTINCT fingerprint) AS clusters FROM fp
       GROUP BY 1 HAVING count(DISTINCT fingerprint) > 1 ORDER BY 1""",
     "merged_clusters": f"""WITH {SOURCES}, {MEASURES} SELECT c.p AS pred_label, c.t AS true_label, ps.width AS labels
-      FROM cells c JOIN ps ON ps.p = c.p WHERE ps.width > 1 ORDER BY 1, 2""",
+      FROM cells c JOIN ps ON ps.p IS NOT DISTINCT FROM c.p WHERE ps.width > 1 ORDER BY 1, 2""",
+    "merged_clusters_nulls": f"""WITH pairs AS (SELECT source AS t, nullif(lang, 'en') AS p FROM documents), {MEASURES}
+      SELECT c.p AS pred_label, c.t AS true_label, ps.width AS labels
+      FROM cells c JOIN ps ON ps.p IS NOT DISTINCT FROM c.p WHERE ps.width > 1 ORDER BY 1, 2""",
     "label_entropy": f"WITH {LABELS}, {MEASURES} SELECT round(ht, 9) AS true_entropy, round(hp, 9) AS pred_entropy FROM ent",
     "homogeneity_completeness_v": f"""WITH {SOURCES}, {MEASURES} SELECT round(h, 9) AS homogeneity, round(c, 9) AS completeness,
       round(v, 9) AS v_measure FROM hcv""",
     "eval_report": f"WITH {LABELS}, {MEASURES} {REPORT}",
     "metric_summary": _summary("lineitem", "l_extendedprice", "l_returnflag, l_linestatus", "round_even({}, 0)"),
+    "metric_summary_nulls": _summary(
+        "(SELECT *, nullif(l_returnflag, 'A') AS flag FROM lineitem)", "l_extendedprice", "flag", "round_even({}, 0)"
+    ),
     "metric_summary_halfup": _summary("events", "value", "", "floor({} + 0.5)"),
     "parse_stack": f"WITH {RAW} SELECT seq, position, fn AS function, file, lineno, colno FROM parsed",
     "frame_attributes": f"WITH {RAW} SELECT seq, position, function, filename, lineno, colno, in_app FROM attrs",
@@ -375,8 +383,4 @@ ORACLE: dict[str, str] = {
     "stream_rollup": f"WITH {ISS} SELECT {ROLL_FIELDS} FROM roll",
     "stream_alerts": f"WITH {ALERTS} SELECT {FEED_FIELDS} FROM feed",
     "stream_out_of_order": f"WITH {_LATE} {_roll('lfirst')}",
-    "gen_labelled_eval": f"""WITH sizes(t, p, s) AS (VALUES ('G1','1',12),('G2','2',9),('G3','3',8),('G4','4',10),('G5','5',7),('G6','6',8),('G7','7',7),
-      ('G8','8',6),('G9','9',6),('G10','10a',4),('G10','10b',4)),
-      cells0 AS (SELECT t, p, s * (SELECT count(*) FROM pages) AS n FROM sizes),
-      {MEASURES.replace("cells AS (SELECT t, p, count(*) AS n FROM pairs GROUP BY t, p)", "cells AS (SELECT * FROM cells0)")} {REPORT}""",
 }

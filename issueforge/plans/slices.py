@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from issueforge.plans.skew import keyed_join
+
 MICROS = 1_000_000
 DEFAULT_SLICE_US = 60 * MICROS
 DAY_US = 86_400 * MICROS
@@ -43,7 +45,7 @@ def running_total(
         ).alias("_before"),
     )
     return (
-        local.join(carried, [*keys, "_slice"])
+        keyed_join(local, carried, [*keys, "_slice"])
         .withColumn(out, F.col("_own") + F.col("_before"))
         .drop("_own", "_before", "_slice")
     )

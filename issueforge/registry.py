@@ -21,7 +21,7 @@ from issueforge.operators import alerts, browse, evaluate, issues, metrics, rawl
 from issueforge.operators.alerts import AlertRules
 from issueforge.schema import ENVELOPE_FIELDS
 from issueforge.session import materialize, scratch_path
-from issueforge.sources import derived, envelopes, generators, sinks
+from issueforge.sources import derived, envelopes, sinks
 from issueforge.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,7 @@ def query(function: Query) -> Query:
 
     @functools.wraps(function)
     def widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
         result = function(spark, sf_dir)
         small = [f.name for f in result.schema if isinstance(f.dataType, IntegerType)]
         return result.withColumns({name: F.col(name).cast("bigint") for name in small})
@@ -262,51 +263,61 @@ def alert_outbox(spark: SparkSession, sf: str) -> DataFrame:
 # ---- validation ----------------------------------------------------------------------------------
 
 
+def _judged(rows: DataFrame, valid: Column) -> DataFrame:
+    """Every delivery; text that is no JSON object is not valid."""
+    return rows.select("seq", F.when(F.col("_is_object"), valid).otherwise(F.lit(False)).alias("valid"))
+
+
 @query
 def envelope_defaults(spark: SparkSession, sf: str) -> DataFrame:
     """V1"""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
+    rows = envelopes.parsed(json_deliveries(spark, sf))
     return rows.select(
-        "seq", "platform", "level", "project",
-        F.size("tags").alias("tags"),
-        F.size("breadcrumbs").alias("breadcrumbs"),
-        F.to_json("extra").alias("extra"),
+        "seq",
+        *(
+            F.when(F.col("_is_object"), value).alias(name)
+            for name, value in {
+                "platform": F.col("platform"), "level": F.col("level"), "project": F.col("project"), "tags": F.size("tags"),
+                "breadcrumbs": F.size("breadcrumbs"), "extra": F.to_json("extra"),
+            }.items()
+        ),
     )
 
 
 @query
 def validate_event_id(spark: SparkSession, sf: str) -> DataFrame:
     """V2"""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
-    return rows.select("seq", envelopes.valid_event_id(F.col("event_id")).alias("valid"))
+    rows = envelopes.parsed(json_deliveries(spark, sf))
+    return _judged(rows, envelopes.valid_event_id(F.col("event_id")))
 
 
 @query
 def validate_level(spark: SparkSession, sf: str) -> DataFrame:
     """V3"""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
-    return rows.select("seq", envelopes.valid_level(F.col("level")).alias("valid"))
+    rows = envelopes.parsed(json_deliveries(spark, sf))
+    return _judged(rows, envelopes.valid_level(F.col("level")))
 
 
 @query
 def validate_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     """V4"""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
-    return rows.select("seq", envelopes.valid_timestamp(F.col("timestamp")).alias("valid"))
+    rows = envelopes.parsed(json_deliveries(spark, sf))
+    return _judged(rows, envelopes.valid_timestamp(F.col("timestamp")))
 
 
 @query
 def validate_payload(spark: SparkSession, sf: str) -> DataFrame:
     """V5"""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
-    return rows.select("seq", envelopes.has_payload(F.col("exception"), F.col("message")).alias("valid"))
+    rows = envelopes.parsed(json_deliveries(spark, sf))
+    return _judged(rows, envelopes.has_payload(F.col("exception"), F.col("message")))
 
 
 @query
 def validate_types(spark: SparkSession, sf: str) -> DataFrame:
     """V6: the names of the badly typed fields of every document."""
-    rows = envelopes.parsed(json_deliveries(spark, sf)).filter("_is_object")
-    return rows.select("seq", F.array_join("_wrong", ",").alias("wrong"))
+    rows = envelopes.parsed(json_deliveries(spark, sf))
+    wrong = F.when(F.col("_is_object"), F.array_join("_wrong", ",")).otherwise(F.lit("json"))
+    return rows.select("seq", wrong.alias("wrong"))
 
 
 @query
@@ -674,6 +685,13 @@ def merged_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.merged_clusters(source_lang(spark, sf))
 
 
+@query
+def merged_clusters_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """E4 with a cluster that is NULL."""
+    rows = source_lang(spark, sf).withColumn("pred_label", F.nullif("pred_label", F.lit("en")))
+    return evaluate.merged_clusters(rows)
+
+
 @query
 def label_entropy(spark: SparkSession, sf: str) -> DataFrame:
     """E5"""
@@ -706,6 +724,13 @@ def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.metric_summary(rows, "l_extendedprice", ["l_returnflag", "l_linestatus"])
 
 
+@query
+def metric_summary_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """D8 with a group whose key is NULL."""
+    rows = derived.table(spark, sf, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("A")))
+    return metrics.metric_summary(rows, "l_extendedprice", ["flag"])
+
+
 @query
 def metric_summary_halfup(spark: SparkSession, sf: str) -> DataFrame:
     """D9 over a whole column."""
@@ -852,24 +877,3 @@ def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
     times = derived.deliveries(spark, sf).select("seq", reversed_time.alias("received_us"))
     root = run_issue_stream(spark, lines.join(times, "seq"))
     return ingest.read_latest(spark, root, "issues", ingest.SNAPSHOT)
-
-
-# ---- generators --------------------------------------------------------------------------------------------
-
-
-@query
-def gen_mixed_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """G1 with one event per row of ``events``, rolled up: issues and their volume."""
-    rows = generators.mixed_stream(derived.events_base(spark, sf).select("seq"))
-    return issues.rollup_partials(issues.dedupe(issues.fingerprinted(rows))).select(
-        "project", "fingerprint", "type", "culprit", "count"
-    )
-
-
-@query
-def gen_labelled_eval(spark: SparkSession, sf: str) -> DataFrame:
-    """G2 with one full labelled set per row of ``nation`` and page, scored."""
-    copies = derived.table(spark, sf, "pages").select(F.col("page_id").alias("copy"))
-    rows = fp.with_fingerprint(generators.labelled_set(spark, copies))
-    report = evaluate.eval_report(rows.select("true_label", F.col("fingerprint").alias("pred_label")))
-    return evaluate.as_double(report, "tp", "fp", "fn", "tn")

@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of a key that a JSON document repeats, the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
     # large expressions are built much faster when call sites are not recorded
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -42,9 +44,15 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary folder only where none is named."""
+    """The shared folder the cluster names; a temporary folder only in local mode, where none is named.
+
+    Elsewhere an unset folder is an error: executors would write to their own disks, and reading
+    back would silently miss files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN_ROOT:
             _OWN_ROOT[application] = tempfile.mkdtemp(prefix="issueforge-")

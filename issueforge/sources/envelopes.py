@@ -226,11 +226,14 @@ _ENVELOPE = {
 
 def parsed(deliveries: DataFrame) -> DataFrame:
     """V1 + V6: add the typed envelope columns, ``_is_object`` and ``_wrong``, the names of badly
-    typed fields.  Defaults fill absent keys only.
+    typed fields.  Defaults fill absent keys only.  Of a repeated key the last value counts, which
+    needs the session setting in ``session.RECOMMENDED``; without it this refuses to run.
 
     The decoded document leaves a one-row `explode_outer`: later filters on its fields (valid rows only)
     stop there, whereas they would be pushed through a projection and repeat the whole decoding.
     """
+    if deliveries.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        raise ValueError("set spark.sql.variant.allowDuplicateKeys to true: documents that repeat a key would be lost")
     rows = deliveries.select(
         "seq", "received_us", "raw", _as(F.try_parse_json("raw"), OBJECT).alias("_doc")
     )

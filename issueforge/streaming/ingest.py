@@ -117,14 +117,20 @@ def start_dedupe(session: SparkSession, source: str, root: str, max_files: int)
 
 
 def start_issues(
-    session: SparkSession, source: str, root: str, max_files: int, rules: AlertRules | None = None
+    session: SparkSession, source: str, root: str, max_files: int, rules: AlertRules | None = None, skew_seconds: float = 3600.0
 ) -> StreamingQuery:
     """ST3 and, with ``rules``, ST4: issue snapshots and alerts.
 
+    Arrivals up to ``skew_seconds`` before the newest of earlier micro-batches still find the context
+    their rolling counts need.  Rows that go further back are counted too, but with what context is
+    left, and are written to the table ``late`` as well.
+
     State tables: the rollup of all issues, the accepted rows of the last window, and the count at
     each issue's last delivery.  A micro-batch reads the folders of the one before it.
     """
 
+    skew_us = int(skew_seconds * 1_000_000)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
@@ -149,6 +155,10 @@ def start_issues(
         new = with_issue_keys(batch).select(*EVAL_KEY, "received_us", "seq", "accepted")
         tail = _get(spark, root, "tail", batch_id - 1, TAIL)
         last = _get(spark, root, "last", batch_id - 1, LAST)
+        reached = tail.agg(F.max("received_us")).first()[0]
+        if reached is not None:
+            late = new.filter(F.col("received_us") < reached - skew_us)
+            _put(late, root, "late", batch_id)
         counts = alert_ops.rolling_counts_after(new, tail, last, rules.window_us)
         _put(counts, root, "counts", batch_id)
         counts = spark.read.schema(counts.schema).parquet(f"{root}/counts/batch={batch_id}")
@@ -161,7 +171,7 @@ def start_issues(
         kept = tail.unionByName(counts.filter("accepted").select(*EVAL_KEY, "received_us", "seq", "accepted"))
         newest_us = kept.agg(F.max("received_us")).first()[0]
         if newest_us is not None:
-            kept = kept.filter(F.col("received_us") >= newest_us - rules.window_us)
+            kept = kept.filter(F.col("received_us") >= newest_us - rules.window_us - skew_us)
         _put(kept, root, "tail", batch_id)
         return alert_ops.describe_crossings(alert_ops.crossings(counts, rules.threshold), issues, rules)
 
