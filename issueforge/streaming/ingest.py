@@ -1,12 +1,13 @@
 """Structured Streaming twins of ingest, dedupe, rollup and alerts.
 
-One query reads envelope lines, validates and fingerprints them (map-only), tags redeliveries with
-keyed state, and hands each micro-batch to the batch operators.  Every table is written under
+The stream itself is map-only: it reads envelope lines and validates them.  Each micro-batch goes to
+the batch operators; redeliveries are found by a join of its event ids with the table of ids stored
+by earlier ones, so no Python runs.  Every table is written under
 ``<name>/batch=<id>``: a replayed micro-batch overwrites its own folder, so results do not depend
 on restarts.  There is no watermark: late event times are never dropped.
 
-Size of a micro-batch (``max_files``; for other sources their own rate option) bounds what one key
-can bring into a state task.
+The ids of earlier micro-batches are read in a few files: each micro-batch adds a folder, and every
+COMPACT_EVERY of them are merged into one.
 """
 
 from __future__ import annotations
@@ -16,15 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules
 from issueforge.operators import alerts as alert_ops
 from issueforge.operators import issues as issue_ops
 from issueforge.operators.alerts import EVAL_KEY, AlertRules
-from issueforge.plans.skew import attach, salt, salts_seen
 from issueforge.sources import envelopes
-from issueforge.streaming.processors import ISSUE_STATE, TAGGED, tag_deliveries
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SNAPSHOT = (
@@ -33,6 +31,8 @@ SNAPSHOT = (
 )
 TAIL = "issue_project string, issue_fingerprint string, received_us bigint, seq bigint, accepted boolean"
 LAST = "issue_project string, issue_fingerprint string, count bigint, at bigint"
+SEEN = "event_id string, issue_project string, issue_fingerprint string"
+COMPACT_EVERY = 16
 ALERT = (
     "received_us bigint, seq bigint, rule_order int, rule string, issue_id bigint, project string, "
     "title string, reason string, at double"
@@ -40,10 +40,11 @@ ALERT = (
 
 
 def streaming_session(spark: SparkSession, state_partitions: int) -> SparkSession:
-    """A session of the same application with the settings stateful streams need."""
+    """A session of the same application with the settings the streams need."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return session
 
 
@@ -87,33 +88,56 @@ def start_ingest(
     return _run(envelope_stream(session, source, max_files), each, root)
 
 
-def tagged_stream(stream: DataFrame, rules: GroupingRules = DEFAULT_RULES) -> DataFrame:
-    """ST2: every valid delivery, tagged accepted or redelivered, with exact unbounded history."""
-    narrow = issue_ops.fingerprinted(envelopes.accepted(stream), rules)
-    return narrow.groupBy("event_id").applyInPandasWithState(
-        tag_deliveries, TAGGED, ISSUE_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def _seen(session: SparkSession, root: str, batch: int) -> DataFrame:
+    """Event ids stored before micro-batch ``batch`` with their issues."""
+    base = (batch - 1) // COMPACT_EVERY * COMPACT_EVERY if batch > 0 else 0
+    paths = [f"{root}/seen-merged/upto={base}"] if base else []
+    paths += [f"{root}/seen/batch={i}" for i in range(base, batch)]
+    return session.read.schema(SEEN).parquet(*paths) if paths else session.createDataFrame([], SEEN)
+
 
+def tagged(batch: DataFrame, root: str, batch_id: int, rules: GroupingRules = DEFAULT_RULES) -> DataFrame:
+    """ST2: the valid deliveries of a micro-batch with the issue of the stored event, tagged accepted or not.
 
-def with_issue_keys(tagged: DataFrame) -> DataFrame:
-    """Fill the issue key of redeliveries whose first delivery is in the same micro-batch."""
-    known = tagged.filter("issue_fingerprint IS NOT NULL")
-    open_rows = tagged.filter("issue_fingerprint IS NULL").drop(*EVAL_KEY).withColumn("_salt", salt("seq"))
-    wanted = open_rows.groupBy("event_id").agg(salts_seen().alias("_salts"))
-    firsts = tagged.filter("accepted").select("event_id", *EVAL_KEY)
-    filled = attach(open_rows, firsts.join(wanted, "event_id"), ["event_id"])
-    return known.unionByName(filled)
+    Exact over the whole history.  Writes the tagged rows and the ids they add, and returns the
+    written rows.  A replayed micro-batch reads the ids of those before it only.
+    """
+    spark = batch.sparkSession
+    narrow = issue_ops.fingerprinted(envelopes.accepted(batch), rules)
+    _put(narrow, root, "narrow", batch_id)
+    narrow = spark.read.schema(narrow.schema).parquet(f"{root}/narrow/batch={batch_id}")
+    own = issue_ops.attributed(narrow)
+    ids = narrow.select("event_id").distinct()
+    known = _seen(spark, root, batch_id).join(ids, "event_id", "left_semi").select(
+        "event_id", F.col("issue_project").alias("_project"), F.col("issue_fingerprint").alias("_fingerprint")
+    )
+    rows = (
+        own.join(known, "event_id", "left")
+        .withColumns(
+            {
+                "accepted": F.col("accepted") & F.col("_fingerprint").isNull(),
+                "issue_project": F.coalesce("_project", "issue_project"),
+                "issue_fingerprint": F.coalesce("_fingerprint", "issue_fingerprint"),
+            }
+        )
+        .drop("_project", "_fingerprint")
+    )
+    _put(rows, root, "deliveries", batch_id)
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/deliveries/batch={batch_id}")
+    _put(rows.filter("accepted").select("event_id", *EVAL_KEY), root, "seen", batch_id)
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        merged = _seen(spark, root, batch_id + 1)
+        merged.coalesce(16).write.mode("overwrite").parquet(f"{root}/seen-merged/upto={batch_id + 1}")
+    return rows
 
 
 def start_dedupe(session: SparkSession, source: str, root: str, max_files: int) -> StreamingQuery:
     """ST2 with a sink: tagged deliveries per micro-batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        _put(with_issue_keys(batch), root, "deliveries", batch_id)
-        batch.unpersist()
+        tagged(batch, root, batch_id)
 
-    return _run(tagged_stream(envelope_stream(session, source, max_files)), each, root)
+    return _run(envelope_stream(session, source, max_files), each, root)
 
 
 def start_issues(
@@ -133,13 +157,12 @@ def start_issues(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
+        batch = tagged(batch, root, batch_id)
         accepted = batch.filter("accepted")
         before = _get(spark, root, "issues", batch_id - 1, SNAPSHOT)
         _put(issue_ops.merge_partials(before, issue_ops.rollup_partials(accepted)), root, "issues", batch_id)
         if rules is not None:
             _alerts(spark, batch, batch_id, before)
-        batch.unpersist()
 
     def _alerts(spark: SparkSession, batch: DataFrame, batch_id: int, before: DataFrame) -> None:
         issues = issue_ops.number_issues(_get(spark, root, "issues", batch_id, SNAPSHOT))
@@ -152,7 +175,7 @@ def start_issues(
             _put(fired, root, "alerts", batch_id)
 
     def _thresholds(spark: SparkSession, batch: DataFrame, batch_id: int, issues: DataFrame) -> DataFrame:
-        new = with_issue_keys(batch).select(*EVAL_KEY, "received_us", "seq", "accepted")
+        new = batch.select(*EVAL_KEY, "received_us", "seq", "accepted")
         tail = _get(spark, root, "tail", batch_id - 1, TAIL)
         last = _get(spark, root, "last", batch_id - 1, LAST)
         reached = tail.agg(F.max("received_us")).first()[0]
@@ -175,7 +198,7 @@ def start_issues(
         _put(kept, root, "tail", batch_id)
         return alert_ops.describe_crossings(alert_ops.crossings(counts, rules.threshold), issues, rules)
 
-    return _run(tagged_stream(envelope_stream(session, source, max_files)), each, root)
+    return _run(envelope_stream(session, source, max_files), each, root)
 
 
 def _latest(last: DataFrame, newest: DataFrame) -> DataFrame:

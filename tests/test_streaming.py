@@ -83,13 +83,15 @@ def test_dedupe_rollup_alerts_with_restart(spark, tmp_path):
     same(streamed.select(counts.columns), counts)
 
 
-def test_tagging(spark, tmp_path):
+def test_tagging(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT_EVERY", 2)
     rows = deliveries(40, 11)
-    for i in range(2):
-        drop(str(tmp_path / "in"), rows[i * 20 : i * 20 + 20], f"f{i}.json", 1000 + i)
+    for i in range(5):
+        drop(str(tmp_path / "in"), rows[i * 8 : i * 8 + 8], f"f{i}.json", 1000 + i)
     root = str(tmp_path / "out")
     ingest.start_dedupe(ingest.streaming_session(spark, 2), str(tmp_path / "in"), root, 1).awaitTermination()
     narrow = issues.fingerprinted(envelopes.accepted(batch_side(spark, rows)))
     tagged = spark.read.parquet(f"{root}/deliveries").drop("batch")
     same(tagged, issues.attributed(narrow))
     assert tagged.filter(~F.col("accepted")).count() > 0
+    assert (tmp_path / "out" / "seen-merged" / "upto=4").exists()
