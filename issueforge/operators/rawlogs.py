@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType
 
 from issueforge.functions.stack import parse_stack
 from issueforge.functions.text import blank
+from issueforge.session import materialize
 from issueforge.plans.skew import attach, keyed_join, salt, salts_seen
 from issueforge.plans.slices import running_total
 from issueforge.schema import BREADCRUMB_TYPE, DEFAULT_PLATFORM, DEFAULT_PROJECT, EXCEPTION_TYPE
@@ -76,14 +77,16 @@ def attach_breadcrumbs(
     none = F.array().cast(ArrayType(element, True))
     if last <= 0:
         return events.withColumn(out, none)
-    points = crumbs.select("client", "seq", F.lit(1).cast("bigint").alias("_is_crumb"), crumb.alias("_crumb")).unionByName(
-        events.select("client", "seq", F.lit(0).cast("bigint").alias("_is_crumb")), allowMissingColumns=True
+    points = crumbs.select("client", "seq", F.lit(1).cast("bigint").alias("_is_crumb")).unionByName(
+        events.select("client", "seq", F.lit(0).cast("bigint").alias("_is_crumb"))
     )
-    ranked = running_total(points, ["client"], ["seq"], "_is_crumb", SEQ_SLICE, "_rank")
+    # three branches read the ranks; crumb bodies join only where they are packed
+    ranked = materialize(running_total(points, ["client"], ["seq"], "_is_crumb", SEQ_SLICE, "_rank"), "crumb-ranks")
+    bodies = crumbs.select("client", "seq", crumb.alias("_crumb"))
     own_block = F.floor((F.col("_rank") - 1) / F.lit(last)).cast("bigint")
     # a crumb is also context for the following block
     blocks = (
-        ranked.filter("_is_crumb = 1")
+        keyed_join(bodies, ranked.filter("_is_crumb = 1").select("client", "seq", "_rank"), ["client", "seq"])
         .withColumn("_block", F.explode(F.array(own_block, own_block + 1)))
         .groupBy("client", "_block")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "_crumb")), lambda a, b: (a["_rank"] - b["_rank"]).cast("int")).alias("_packed"))
