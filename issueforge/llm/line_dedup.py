@@ -16,12 +16,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issueforge.llm.stages import stage
 from issueforge.llm.textvec import _mixed, scan, slices
-from issueforge.session import materialize
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5  # shorter lines are never removed
@@ -29,6 +28,7 @@ BUCKETS = 1 << 18
 CHUNK = 1 << 12
 N_MOST = (1 << 20) - 1  # set sizes from here on skip the size filters
 POSITION_MOST = (1 << 12) - 1
+BROADCAST_ROWS = 200_000  # narrow rows, counted before a broadcast
 
 
 # word frequencies
@@ -82,7 +82,7 @@ class _Sets:
         order = (rank[_bucket(hashes)] << np.uint64(24)) | (hashes >> np.uint64(40))
         at = np.flatnonzero(keep)
         if len(key) < 1 << 22:
-            at = at[np.argsort((line[at].astype(np.uint64) << np.uint64(42)) | order[at], kind="stable")]
+            at = at[np.argsort((line[at].astype(np.uint64) << np.uint64(42)) | order[at])]
         else:
             at = at[np.lexsort((order[at], line[at]))]
         line, hashes = line[at], hashes[at]
@@ -98,15 +98,19 @@ class _Sets:
         with np.errstate(over="ignore"):
             self.a = _summed(_mixed(self.word), self.begin)
             self.b = _summed(_mixed(self.word ^ np.uint64(0x9E3779B97F4A7C15)), self.begin)
-        bit = np.uint64(1) << (_mixed(self.word + np.uint64(1)) >> np.uint64(58))
-        self.parity = np.bitwise_xor.reduceat(bit, self.begin) if len(lines) else bit
+        # 128 parities of words, in two halves
+        place = _mixed(self.word + np.uint64(1)) >> np.uint64(57)
+        bit, low = np.uint64(1) << (place & np.uint64(63)), place < 64
+        self.parity = [
+            np.bitwise_xor.reduceat(half, self.begin) if len(lines) else half for half in (np.where(low, bit, 0), np.where(low, 0, bit))
+        ]
 
 
 def _summed(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, begin) if len(begin) else values
 
 
-LINE_DDL = "doc_id bigint, line int, a bigint, b bigint, n int, parity bigint, prefix array<int>"
+LINE_DDL = "doc_id bigint, line int, a bigint, b bigint, n int, low bigint, high bigint, prefix array<int>"
 
 
 def _prefix_sizes(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -131,9 +135,10 @@ def lines_of(docs: DataFrame, rank: np.ndarray, similarity: float = SIMILARITY,
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(sets.doc)), pa.array(sets.number, pa.int32()), pa.array(sets.a.view(np.int64)),
-                        pa.array(sets.b.view(np.int64)), pa.array(sets.size, pa.int32()), pa.array(sets.parity.view(np.int64)), prefix,
+                        pa.array(sets.b.view(np.int64)), pa.array(sets.size, pa.int32()),
+                        *(pa.array(half.astype(np.uint64).view(np.int64)) for half in sets.parity), prefix,
                     ],
-                    ["doc_id", "line", "a", "b", "n", "parity", "prefix"],
+                    ["doc_id", "line", "a", "b", "n", "low", "high", "prefix"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, LINE_DDL)
@@ -142,7 +147,7 @@ def lines_of(docs: DataFrame, rank: np.ndarray, similarity: float = SIMILARITY,
 # candidates
 
 
-def _near(word, n, position, parity, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _near(word, n, position, parity: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs of one word that pass the filters; rows are sorted by word and size."""
     left, right = [], []
     alive = np.arange(len(word) - 1)
@@ -157,7 +162,7 @@ def _near(word, n, position, parity, similarity: float) -> tuple[np.ndarray, np.
         least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9  # of shared words
         open_ended = n[j] >= N_MOST
         positional = 1 + np.minimum(n[i] - position[i], n[j] - position[j]) - 1 >= least
-        apart = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).astype(np.int64)
+        apart = sum(np.bitwise_count((half[i] ^ half[j]).view(np.uint64)).astype(np.int64) for half in parity)
         near = (positional & (n[i] + n[j] - apart >= 2 * least)) | open_ended
         left.append(i[near])
         right.append(j[near])
@@ -182,17 +187,19 @@ def _groups(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _candidates(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(cluster, set) of the sets that have a candidate partner, from rows sorted by word and size."""
 
-    def found(key, a, parity):
+    def found(key, a, *parity):
         word, n, position = key >> 32, key >> 12 & N_MOST, key & POSITION_MOST
         left, right = _near(word, n, position, parity, similarity)
         different = a[left] != a[right]
         left, right = left[different], right[different]
         root = _groups(len(key), left, right)
         members = np.unique(np.concatenate([left, right]))
-        cluster = _mixed(a[root[members]].view(np.uint64) ^ word[members].astype(np.uint64)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(a[members])], ["cluster", "a"])
+        # named by its smallest set: members that meet under several words stay one cluster
+        least = a.copy()
+        np.minimum.at(least, root, a)
+        return pa.RecordBatch.from_arrays([pa.array(least[root[members]]), pa.array(a[members])], ["cluster", "a"])
 
-    held = [np.zeros(0, np.int64)] * 3
+    held = [np.zeros(0, np.int64)] * 4
     for batch in batches:
         now = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
         if not len(now[0]):
@@ -236,26 +243,21 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, rank: np.ndarray, least: int) -> DataFrame:
-    """(a, words) of the wanted sets, read again from the lines they first occur in."""
+    """(a, words) of the wanted sets (a, doc_id, line), read again from the line they first occur in."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank)
-    asked = wanted.groupBy("doc_id").agg(F.collect_set("a").alias("sets"))
+    asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("line", "a")).alias("asked"))
+    few = wanted.count() <= BROADCAST_ROWS
+    lines = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, "doc_id").select(F.split("text", "\n", -1).alias("parts"), "asked")
+    one = F.explode(F.transform("asked", lambda x: F.struct(x["a"].alias("a"), F.get("parts", x["line"]).alias("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), ranks.value, least)
-                asked = part.column("sets")
-                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(asked)))
-                pairs = set(zip(row.tolist(), np.asarray(asked.flatten()).tolist()))
-                owned = sets.a.view(np.int64).tolist()
-                keep = [i for i, pair in enumerate(zip(sets.doc.tolist(), owned)) if pair in pairs]
-                words = [sets.word[sets.begin[i] : sets.begin[i] + sets.size[i]].view(np.int64) for i in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([owned[i] for i in keep], pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["a", "words"]
-                )
+                lists = pa.ListArray.from_arrays(pa.array(np.append(sets.begin, len(sets.word)), pa.int32()), pa.array(sets.word.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(sets.doc)), lists], ["a", "words"])
 
-    rows = docs.select("doc_id", "text").join(asked, "doc_id").select("text", "sets")
-    return rows.mapInArrow(run, "a bigint, words array<bigint>")
+    return lines.select(one.alias("one")).select("one.*").mapInArrow(run, "a bigint, words array<bigint>")
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
@@ -270,23 +272,23 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter("doc_id is not null and text is not null")
     rank = rarity(rows)
-    lines = materialize(lines_of(rows, rank, similarity, least), "lines")
-    first = F.min(F.struct("doc_id", "line", "n", "parity", "prefix"))
+    lines = stage(lines_of(rows, rank, similarity, least), "lines")
+    first = F.min(F.struct("doc_id", "line", "n", "low", "high", "prefix"))
     firsts = lines.groupBy("a", "b").agg(first.alias("first"), F.count("*").alias("copies"))
-    once = materialize(firsts.select("a", "b", "copies", "first.*"), "sets")
+    once = stage(firsts.select("a", "b", "copies", "first.*"), "sets")
     sets = once.select("a", "b", "doc_id", "line", "copies")
     key = F.expr(
         f"shiftleft(cast(word as bigint), 32) | shiftleft(cast(least(n, {N_MOST}) as bigint), 12) | least(position, {POSITION_MOST})"
     )
-    prefix = once.select("a", "n", "parity", F.posexplode("prefix").alias("position", "word")).select(key.alias("key"), "a", "parity")
+    prefix = once.select("a", "n", "low", "high", F.posexplode("prefix").alias("position", "word")).select(key.alias("key"), "a", "low", "high")
     placed = prefix.repartition(F.expr("shiftright(key, 32)")).sortWithinPartitions("key", "a")
-    members = materialize(
+    members = stage(
         placed.mapInArrow(lambda b: _candidates(b, similarity), "cluster bigint, a bigint").distinct(), "candidates"
     )
     wanted = sets.join(members.select("a").distinct(), "a").select("a", "doc_id", "line")
-    words = _words_of(rows, wanted, rank, least).distinct()
+    words = stage(_words_of(rows, wanted, rank, least), "words")
     full = members.join(wanted, "a").join(words, "a").repartition("cluster").sortWithinPartitions("cluster", "doc_id", "line", "a")
-    late = materialize(
+    late = stage(
         full.select("cluster", "a", "words").mapInArrow(lambda b: _verified(b, similarity), "a bigint").distinct(), "late-sets"
     )
     # of a late set every line goes, of the others all but the first
