@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from issueforge.session import materialize
+from issueforge.llm.stages import stage
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     a, b = links.columns
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links, seen = materialize(links, "links"), None
+    links, seen = stage(links, "links"), None
     while True:
         total = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if total == seen or not total[0]:
@@ -46,4 +46,4 @@ def connected_components(links: DataFrame) -> DataFrame:
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = total
-        links = materialize(_small_star(_large_star(links)), "links")
+        links = stage(_small_star(_large_star(links)), "links")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from issueforge.llm.components import connected_components
 from issueforge.llm.textvec import scan, shingles, slices
-from issueforge.session import materialize
+from issueforge.llm.stages import stage
 
 SHARD_LIMIT = 4096  # fingerprints in one tree; larger shards take the exact neighbourhood way
 
@@ -174,7 +174,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, limit: int = SHARD_LIMIT)
     """
     shards = fps.select("fp", F.explode(F.array(*map(F.expr, block_shards(radius)))).alias("shard"))
     sizes = shards.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = materialize(shards.join(sizes, "shard").select("shard", F.col("fp").alias("id"), "fp", "n"), "shards")
+    placed = stage(shards.join(sizes, "shard").select("shard", F.col("fp").alias("id"), "fp", "n"), "shards")
     cold = shard_links(placed.filter(F.col("n") <= limit), radius)
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -201,15 +201,15 @@ def near_duplicate_components(
     any other.  Repeated rows each keep a row.  A null doc_id never names a component unless its
     component has no other.  No rows give no rows; further columns are ignored.
     """
-    rows = materialize(fingerprints(docs, words), "fingerprints")
-    least = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    found = materialize(connected_components(fingerprint_links(least.select("fp"), radius, limit)), "components")
+    rows = stage(fingerprints(docs, words), "fingerprints")
+    least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
+    found = stage(connected_components(fingerprint_links(least.select("fp"), radius, limit)), "components")
     rooted = least.join(found, least["fp"] == found["node"]).select("fp", "root", "least")
     # a component of many fingerprints: its minimum is pre-aggregated, the root is not a join key with rows of text
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = rooted.join(lowest, "root").select("fp", "component_id")
     alone = least.filter("n > 1").join(found, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("least").alias("component_id"))
-    named = materialize(linked.unionByName(alone), "named")
+    named = stage(linked.unionByName(alone), "named")
     return rows.join(named, "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -277,10 +277,10 @@ def near_duplicate_groups(
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     words_only = F.trim(F.regexp_replace(F.expr("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"), r"[\x20\x09-\x0D]+", " "))
-    hashed = materialize(rows.select("doc_id", F.sha2(words_only, 256).alias("same")), "same-text")
-    first = materialize(hashed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "first-texts")
+    hashed = stage(rows.select("doc_id", F.sha2(words_only, 256).alias("same")), "same-text")
+    first = stage(hashed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "first-texts")
     one = rows.join(first.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    sketch = materialize(
+    sketch = stage(
         one.mapInArrow(lambda b: _sketched(b, words, samples, depth), "doc_id bigint, fp bigint, keys array<bigint>"), "sketches"
     )
     placed = sketch.select(F.col("doc_id").alias("id"), "fp", F.posexplode("keys").alias("sample", "key"))
@@ -288,13 +288,13 @@ def near_duplicate_groups(
     sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     # trees stay bounded: a hot shard is cut by ranges of equal fingerprint blocks, each pair of ranges once
     cold = placed.join(sizes, "shard")
-    links = materialize(shard_links(_bounded(cold), radius).distinct(), "candidates")
+    links = stage(shard_links(_bounded(cold), radius).distinct(), "candidates")
     texts = rows.select("doc_id", "text")
     paired = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     sure = paired.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _jaccard(b, words, similarity), "a bigint, b bigint")
-    found = materialize(connected_components(sure), "components")
+    found = stage(connected_components(sure), "components")
     root = first.join(found, F.col("least") == F.col("node"), "left").select("same", "n", "node", F.coalesce("root", "least").alias("group_id"))
     named = root.filter("n > 1 or node is not null").select("same", "group_id")
     return hashed.join(named, "same").select("doc_id", "group_id")

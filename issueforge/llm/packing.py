@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from issueforge.llm.textvec import slices
 from issueforge.llm.tokens import encoder, word_bpe_path
-from issueforge.session import materialize
+from issueforge.llm.stages import stage
 
 CAPACITY = 2048
 CLASSES = 16  # the last is the class of short rests
@@ -146,7 +146,7 @@ def pack(
     """
     path = tokenizer or word_bpe_path()
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done = materialize(narrow.mapInArrow(lambda b: _packed(b, path, capacity, classes, slack), PIECE_DDL), "pieces")
+    done = stage(narrow.mapInArrow(lambda b: _packed(b, path, capacity, classes, slack), PIECE_DDL), "pieces")
     out = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     full = done.filter("sequence_id is not null").select(*out)
     left = done.filter("sequence_id is null").drop("sequence_id", "offset")
