@@ -300,6 +300,8 @@ ORACLE: dict[str, str] = {
       FROM firsts f JOIN iss i ON i.project = f.project AND i.fingerprint = f.fingerprint""",
     "issue_detail": f"""WITH {LISTED}, newest AS ({NEWEST}) SELECT l.id, l.title, l.status, l.count, n.position, n.event_id, n.timestamp, n.message
       FROM listed l JOIN newest n ON n.project = l.project AND n.fingerprint = l.fingerprint WHERE n.position <= 50""",
+    "issue_detail_one": f"""WITH {LISTED}, newest AS ({NEWEST}) SELECT l.id, l.title, n.position, n.event_id, n.timestamp, n.message
+      FROM listed l JOIN newest n ON n.project = l.project AND n.fingerprint = l.fingerprint WHERE n.position <= 50 AND l.id = 1""",
     "issue_status": f"WITH {LISTED} SELECT id, project, fingerprint, status FROM listed",
     "status_rejects": f"""WITH {ISS}, {CHANGES}, judged_changes AS (SELECT c.*, CASE WHEN status NOT IN ('unresolved','resolved','ignored') THEN 'invalid status'
       WHEN i.id IS NULL THEN 'issue not found' END AS reject FROM changes c LEFT JOIN iss i ON i.id = c.issue_id)

@@ -225,6 +225,15 @@ def event_sink(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def issue_detail_one(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 for one issue, from the event table as it is stored."""
+    path = scratch_path(spark, "events")
+    sinks.append_events(stored_events(spark, sf), path)
+    detail = browse.issue_detail(listed(spark, sf), sinks.read_events(spark, path), issue_id=1)
+    return detail.select("id", "title", "position", "event_id", "timestamp", F.get_json_object("payload", "$.message").alias("message"))
+
+
 @query
 def issue_upsert_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """S3: four arrival batches merged one after another into the issue snapshot."""

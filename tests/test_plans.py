@@ -84,3 +84,22 @@ def test_hot_issue_is_spread_over_slices(spark):
     assert biggest <= 600
     counts = alerts.rolling_counts(df, 10**15)
     assert counts.filter("issue_fingerprint = 'hot'").agg(F.max("window_count")).first()[0] == n // 3
+
+
+def test_lookup_of_one_issue_is_pushed_to_the_scan(spark, tmp_path):
+    from issueforge.operators import browse
+    from issueforge.sources import sinks
+
+    rows = spark.range(2000).selectExpr(
+        "md5(string(id)) event_id", "id % 40 issue_id", "md5(string(id % 40)) fingerprint", "'p' project", "'error' level",
+        "cast(id as double) timestamp", "0D received_at", "'{}' payload", "date'2026-01-01' day",
+    )
+    sinks.append_events(rows, str(tmp_path / "events"))
+    events = sinks.read_events(spark, str(tmp_path / "events"))
+    issue = spark.createDataFrame([(7, "t")], "id long, title string")
+    detail = browse.issue_detail(issue, events, issue_id=7)
+    plan = detail._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(issue_id,7)" in plan
+    assert detail.count() == 50
+    one = events.filter("issue_id is not null").select("issue_id").collect()
+    assert [r[0] for r in one] == sorted(r[0] for r in one)
