@@ -385,4 +385,14 @@ ORACLE: dict[str, str] = {
     "stream_rollup": f"WITH {ISS} SELECT {ROLL_FIELDS} FROM roll",
     "stream_alerts": f"WITH {ALERTS} SELECT {FEED_FIELDS} FROM feed",
     "stream_out_of_order": f"WITH {_LATE} {_roll('lfirst')}",
+    "store_ingest": f"""WITH {FP}, edge AS (SELECT min(received_us) AS low, (max(received_us) - min(received_us)) // 4 + 1 AS width FROM fp),
+      given AS (SELECT fp.*, CASE (received_us - low) // width WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE (received_us - low) // width END AS b FROM fp, edge),
+      kept AS (SELECT * FROM given QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY b, received_us, seq) = 1),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY project, fingerprint ORDER BY b, received_us, seq) AS r,
+        row_number() OVER (PARTITION BY project, fingerprint ORDER BY received_us, seq) AS first,
+        count(*) OVER (PARTITION BY project, fingerprint) AS n FROM kept),
+      ids AS (SELECT project, fingerprint, n, row_number() OVER (ORDER BY b, received_us, seq) AS id FROM ranked WHERE r = 1),
+      titles AS (SELECT project, fingerprint, title FROM ranked WHERE first = 1)
+      SELECT ids.project, ids.fingerprint, ids.n AS count, titles.title, ids.id, ids.n AS events
+      FROM ids JOIN titles ON titles.project = ids.project AND titles.fingerprint = ids.fingerprint""",
 }

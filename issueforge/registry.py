@@ -886,3 +886,22 @@ def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
     times = derived.deliveries(spark, sf).select("seq", reversed_time.alias("received_us"))
     root = run_issue_stream(spark, lines.join(times, "seq"))
     return ingest.read_latest(spark, root, "issues", ingest.SNAPSHOT)
+
+
+@query
+def store_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """S1-S4 durable: four batches, the third quarter of arrivals before the second, one given twice.
+
+    An issue's id follows the batch it first came in, then its first arrival there.
+    """
+    rows = materialize(clean_lines(spark, sf), "clean")
+    low, high = rows.agg(F.min("received_us"), F.max("received_us")).first()
+    width = (high - low) // 4 + 1
+    root, session = scratch_path(spark, "store"), _stream(spark)
+    for number, quarter in ((0, 0), (1, 2), (1, 2), (2, 1), (3, 3)):
+        part = rows.filter(F.floor((F.col("received_us") - low) / F.lit(width)) == quarter)
+        ingest.ingest_batch(envelopes.validated(part), root, number)
+    events = spark.read.parquet(f"{root}/events").groupBy("issue_id").agg(F.count("*").alias("events"))
+    ids = session.read.schema(ingest.IDS).parquet(f"{root}/ids/batch=3")
+    snapshot = session.read.schema(ingest.SNAPSHOT).parquet(f"{root}/issues/batch=3").select("project", "fingerprint", "count", "title")
+    return snapshot.join(ids, ["project", "fingerprint"]).join(events, F.col("id") == F.col("issue_id")).drop("issue_id")

@@ -22,7 +22,8 @@ from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules
 from issueforge.operators import alerts as alert_ops
 from issueforge.operators import issues as issue_ops
 from issueforge.operators.alerts import EVAL_KEY, AlertRules
-from issueforge.sources import envelopes
+from issueforge.plans.slices import arrival_number
+from issueforge.sources import envelopes, sinks
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SNAPSHOT = (
@@ -31,6 +32,7 @@ SNAPSHOT = (
 )
 TAIL = "issue_project string, issue_fingerprint string, received_us bigint, seq bigint, accepted boolean"
 LAST = "issue_project string, issue_fingerprint string, count bigint, at bigint"
+IDS = "project string, fingerprint string, id bigint"
 SEEN = "event_id string, issue_project string, issue_fingerprint string"
 COMPACT_EVERY = 16
 ALERT = (
@@ -140,63 +142,112 @@ def start_dedupe(session: SparkSession, source: str, root: str, max_files: int)
     return _run(envelope_stream(session, source, max_files), each, root)
 
 
+def _numbered(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """Issues after a micro-batch with their ids.  An id never changes: issues that are new in this
+    micro-batch are numbered after the largest id so far, in order of first arrival within it."""
+    issues = _get(spark, root, "issues", batch_id, SNAPSHOT)
+    old = _get(spark, root, "ids", batch_id - 1, IDS)
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = issues.join(old, ["project", "fingerprint"], "left_anti")
+    new = arrival_number(fresh, "first_received_us", "first_seq", "id")
+    _put(old.unionByName(new.select("project", "fingerprint", (F.col("id") + top).alias("id"))), root, "ids", batch_id)
+    return issues.join(_get(spark, root, "ids", batch_id, IDS), ["project", "fingerprint"])
+
+
+def ingest_batch(
+    checked: DataFrame,
+    root: str,
+    batch_id: int,
+    rules: AlertRules | None = None,
+    skew_seconds: float = 3600.0,
+    store_events: bool = True,
+) -> None:
+    """Durable ingest of one batch of validated deliveries (`envelopes.validated`) below ``root``.
+
+    Finds redeliveries, merges the issue snapshot, gives new issues their ids and, as asked, appends
+    the event and quarantine tables and evaluates the alert rules into alerts and outbox.  Batch ids
+    count from 0; every table is written under ``batch=<id>``, so a batch that is given again
+    overwrites itself.  What arrives first is decided batch by batch: a delivery of a later batch is
+    a redelivery of an earlier one's, whatever their arrival times.
+    """
+    spark = checked.sparkSession
+    checked = checked.persist() if store_events else checked
+    batch = tagged(checked, root, batch_id)
+    accepted = batch.filter("accepted")
+    before = _get(spark, root, "issues", batch_id - 1, SNAPSHOT)
+    _put(issue_ops.merge_partials(before, issue_ops.rollup_partials(accepted)), root, "issues", batch_id)
+    issues = _numbered(spark, root, batch_id)
+    if store_events:
+        keys = accepted.select("seq", "project", "fingerprint").join(
+            issues.select("project", "fingerprint", F.col("id").alias("issue_id")), ["project", "fingerprint"]
+        )
+        full = envelopes.accepted(checked).join(keys.drop("project"), "seq")
+        even = sinks.event_rows(full).sortWithinPartitions("project", "day", "issue_id", "timestamp")
+        even.write.mode("overwrite").partitionBy("project", "day").parquet(f"{root}/events/batch={batch_id}")
+        _put(envelopes.quarantined(checked), root, "quarantine", batch_id)
+        checked.unpersist()
+    if rules is not None:
+        fired = _fired(batch, root, batch_id, issues, before, rules, int(skew_seconds * 1_000_000))
+        if fired is not None:
+            _put(fired, root, "alerts", batch_id)
+            if rules.target_url:
+                _put(alert_ops.outbox(_get(spark, root, "alerts", batch_id, ALERT), rules), root, "outbox", batch_id)
+
+
+def _fired(
+    batch: DataFrame, root: str, batch_id: int, issues: DataFrame, before: DataFrame, rules: AlertRules, skew_us: int
+) -> DataFrame | None:
+    fresh = issues.join(before.select("project", "fingerprint"), ["project", "fingerprint"], "left_anti")
+    fired = alert_ops.new_issue_alerts(fresh) if rules.new_issue else None
+    if rules.threshold is None:
+        return fired
+    spark = batch.sparkSession
+    new = batch.select(*EVAL_KEY, "received_us", "seq", "accepted")
+    tail = _get(spark, root, "tail", batch_id - 1, TAIL)
+    last = _get(spark, root, "last", batch_id - 1, LAST)
+    reached = tail.agg(F.max("received_us")).first()[0]
+    if reached is not None:
+        late = new.filter(F.col("received_us") < reached - skew_us)
+        _put(late, root, "late", batch_id)
+    counts = alert_ops.rolling_counts_after(new, tail, last, rules.window_us)
+    _put(counts, root, "counts", batch_id)
+    counts = spark.read.schema(counts.schema).parquet(f"{root}/counts/batch={batch_id}")
+    newest = counts.groupBy(*EVAL_KEY).agg(
+        F.max_by("window_count", F.struct("received_us", "seq")).alias("count"),
+        F.max("received_us").alias("at"),
+    )
+    merged = _latest(last, newest)
+    _put(merged, root, "last", batch_id)
+    kept = tail.unionByName(counts.filter("accepted").select(*EVAL_KEY, "received_us", "seq", "accepted"))
+    newest_us = kept.agg(F.max("received_us")).first()[0]
+    if newest_us is not None:
+        kept = kept.filter(F.col("received_us") >= newest_us - rules.window_us - skew_us)
+    _put(kept, root, "tail", batch_id)
+    crossed = alert_ops.describe_crossings(alert_ops.crossings(counts, rules.threshold), issues, rules)
+    return crossed if fired is None else fired.unionByName(crossed)
+
+
 def start_issues(
-    session: SparkSession, source: str, root: str, max_files: int, rules: AlertRules | None = None, skew_seconds: float = 3600.0
+    session: SparkSession,
+    source: str,
+    root: str,
+    max_files: int,
+    rules: AlertRules | None = None,
+    skew_seconds: float = 3600.0,
+    store_events: bool = False,
 ) -> StreamingQuery:
-    """ST3 and, with ``rules``, ST4: issue snapshots and alerts.
+    """ST3 and, with ``rules``, ST4: issue snapshots and alerts, by `ingest_batch` per micro-batch.
 
     Arrivals up to ``skew_seconds`` before the newest of earlier micro-batches still find the context
     their rolling counts need.  Rows that go further back are counted too, but with what context is
     left, and are written to the table ``late`` as well.
 
-    State tables: the rollup of all issues, the accepted rows of the last window, and the count at
-    each issue's last delivery.  A micro-batch reads the folders of the one before it.
+    State tables: the rollup of all issues and their ids, the accepted rows of the last window, and
+    the count at each issue's last delivery.  A micro-batch reads the folders of the one before it.
     """
 
-    skew_us = int(skew_seconds * 1_000_000)
-
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = tagged(batch, root, batch_id)
-        accepted = batch.filter("accepted")
-        before = _get(spark, root, "issues", batch_id - 1, SNAPSHOT)
-        _put(issue_ops.merge_partials(before, issue_ops.rollup_partials(accepted)), root, "issues", batch_id)
-        if rules is not None:
-            _alerts(spark, batch, batch_id, before)
-
-    def _alerts(spark: SparkSession, batch: DataFrame, batch_id: int, before: DataFrame) -> None:
-        issues = issue_ops.number_issues(_get(spark, root, "issues", batch_id, SNAPSHOT))
-        fresh = issues.join(before.select("project", "fingerprint"), ["project", "fingerprint"], "left_anti")
-        fired = alert_ops.new_issue_alerts(fresh) if rules.new_issue else None
-        if rules.threshold is not None:
-            crossed = _thresholds(spark, batch, batch_id, issues)
-            fired = crossed if fired is None else fired.unionByName(crossed)
-        if fired is not None:
-            _put(fired, root, "alerts", batch_id)
-
-    def _thresholds(spark: SparkSession, batch: DataFrame, batch_id: int, issues: DataFrame) -> DataFrame:
-        new = batch.select(*EVAL_KEY, "received_us", "seq", "accepted")
-        tail = _get(spark, root, "tail", batch_id - 1, TAIL)
-        last = _get(spark, root, "last", batch_id - 1, LAST)
-        reached = tail.agg(F.max("received_us")).first()[0]
-        if reached is not None:
-            late = new.filter(F.col("received_us") < reached - skew_us)
-            _put(late, root, "late", batch_id)
-        counts = alert_ops.rolling_counts_after(new, tail, last, rules.window_us)
-        _put(counts, root, "counts", batch_id)
-        counts = spark.read.schema(counts.schema).parquet(f"{root}/counts/batch={batch_id}")
-        newest = counts.groupBy(*EVAL_KEY).agg(
-            F.max_by("window_count", F.struct("received_us", "seq")).alias("count"),
-            F.max("received_us").alias("at"),
-        )
-        merged = _latest(last, newest)
-        _put(merged, root, "last", batch_id)
-        kept = tail.unionByName(counts.filter("accepted").select(*EVAL_KEY, "received_us", "seq", "accepted"))
-        newest_us = kept.agg(F.max("received_us")).first()[0]
-        if newest_us is not None:
-            kept = kept.filter(F.col("received_us") >= newest_us - rules.window_us - skew_us)
-        _put(kept, root, "tail", batch_id)
-        return alert_ops.describe_crossings(alert_ops.crossings(counts, rules.threshold), issues, rules)
+        ingest_batch(batch, root, batch_id, rules, skew_seconds, store_events)
 
     return _run(envelope_stream(session, source, max_files), each, root)
 

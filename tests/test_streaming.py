@@ -95,3 +95,19 @@ def test_tagging(spark, tmp_path, monkeypatch):
     same(tagged, issues.attributed(narrow))
     assert tagged.filter(~F.col("accepted")).count() > 0
     assert (tmp_path / "out" / "seen-merged" / "upto=4").exists()
+
+
+def test_ids_never_change_and_batches_replay(spark, tmp_path):
+    rows = deliveries(40, 11)
+    root, seen = str(tmp_path / "store"), {}
+    order = [rows[0:10], rows[20:30], rows[20:30], rows[10:20], rows[30:40]]
+    for number, part in zip((0, 1, 1, 2, 3), order):
+        ingest.ingest_batch(batch_side(spark, part), root, number, RULES)
+        ids = {(r["project"], r["fingerprint"]): r["id"] for r in spark.read.parquet(f"{root}/ids/batch={number}").collect()}
+        assert all(ids[k] == v for k, v in seen.items()) and sorted(ids.values()) == list(range(1, len(ids) + 1))
+        seen = ids
+    events = spark.read.parquet(f"{root}/events").collect()
+    assert len(events) == len({r["event_id"] for r in events})
+    assert {(r["project"], r["fingerprint"]): r["issue_id"] for r in events}.items() <= seen.items()
+    counts = spark.read.parquet(f"{root}/issues/batch=3").agg(F.sum("count")).first()[0]
+    assert counts == len(events)
