@@ -26,7 +26,7 @@ HEADLINE = (
     "fingerprint", "dedupe_events", "issue_rollup", "issue_ids", "events_with_issue", "issues_sorted",
     "issue_recent_events", "rolling_issue_count", "alert_feed", "delivery_results", "validation_report",
     "normalize_message", "normalize_module", "eval_report", "pair_confusion", "metric_summary", "parse_stack",
-    "breadcrumbs_asof",
+    "breadcrumbs_asof", "stream_dedupe",
 )
 
 
