@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from issueforge.llm.stages import stage
+from issueforge.llm.stages import stage, with_ids
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -140,5 +140,4 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose id has no leak; rows with a null id stay."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
+    return with_ids(docs, leaks(docs, benchmark, **options).select("doc_id"), "left_anti")

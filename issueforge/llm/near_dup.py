@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from issueforge.llm.components import connected_components
 from issueforge.llm.textvec import scan, shingles, slices
-from issueforge.llm.stages import stage
+from issueforge.llm.stages import stage, with_ids
 
 SHARD_LIMIT = 4096  # fingerprints in one tree; larger shards take the exact neighbourhood way
 
@@ -279,17 +279,17 @@ def near_duplicate_groups(
     words_only = F.trim(F.regexp_replace(F.expr("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"), r"[\x20\x09-\x0D]+", " "))
     hashed = stage(rows.select("doc_id", F.sha2(words_only, 256).alias("same")), "same-text")
     first = stage(hashed.groupBy("same").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "first-texts")
-    one = rows.join(first.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-    sketch = stage(
-        one.mapInArrow(lambda b: _sketched(b, words, samples, depth), "doc_id bigint, fp bigint, keys array<bigint>"), "sketches"
-    )
+    # every text is sketched where it is read; the narrow sketches of later equal texts are dropped
+    every = rows.mapInArrow(lambda b: _sketched(b, words, samples, depth), "doc_id bigint, fp bigint, keys array<bigint>")
+    sketch = stage(every.join(first.select(F.col("least").alias("doc_id")), "doc_id", "left_semi"), "sketches")
     placed = sketch.select(F.col("doc_id").alias("id"), "fp", F.posexplode("keys").alias("sample", "key"))
     placed = placed.filter("key <> 0").select(F.xxhash64("sample", "key").alias("shard"), "id", "fp")
     sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
     # trees stay bounded: a hot shard is cut by ranges of equal fingerprint blocks, each pair of ranges once
     cold = placed.join(sizes, "shard")
     links = stage(shard_links(_bounded(cold), radius).distinct(), "candidates")
-    texts = rows.select("doc_id", "text")
+    ends = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id")))
+    texts = stage(with_ids(rows, ends, "left_semi").select("doc_id", "text"), "linked-texts")
     paired = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )

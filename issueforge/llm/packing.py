@@ -29,7 +29,7 @@ CAPACITY = 2048
 CLASSES = 16  # the last is the class of short rests
 SLACK = 0.03  # a piece of at least (1 - SLACK) of its class's size is not cut
 END_ID = 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 PIECE = pa.schema(
     [
@@ -120,11 +120,11 @@ class _Worker:
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, classes: int, slack: float) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId()
-    worker, tokens = _Worker(number, capacity, classes, slack), encoder(path)
+    worker = _Worker(number, capacity, classes, slack)
     end = np.array([END_ID], dtype=np.int32)
     for batch in batches:
         for part in slices(batch, "text", SLICE):
-            ids, offsets = tokens.encode(part.column("text"))
+            ids, offsets = encoder(path).encode(part.column("text"))
             for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets.tolist(), offsets[1:].tolist()):
                 worker.add(doc, np.concatenate([ids[a:b], end]))
             if worker.rows:

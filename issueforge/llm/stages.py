@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from issueforge.session import materialize
 
@@ -19,3 +20,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+NARROW_ROWS = 1_000_000  # ids of eight bytes each, counted before a broadcast
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose doc_id is (``left_semi``) or is not (``left_anti``) in ``ids``, a table of one id column.
+
+    Up to NARROW_ROWS ids, counted after they are written, are broadcast, so texts stay where they
+    are; beyond that the join shuffles them.  Null ids match nothing.
+    """
+    ids = stage(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= NARROW_ROWS else ids
+    return rows.join(side, rows["doc_id"] == side["_id"], how)

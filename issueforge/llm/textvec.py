@@ -7,14 +7,15 @@ runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # text bytes handled at once; bounds the numpy temporaries of a task
+SLICE_BYTES = 1 << 20  # text bytes handled at once; bounds the numpy temporaries of a task
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,6 +102,28 @@ def scan(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = True) ->
     return Words(data, offsets, start, end, doc)
 
 
+IDLE: list[Callable[[], None]] = []  # called between slices to drop what a worker no longer uses
+
+
+def _trimmer():
+    """glibc's malloc_trim where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+_trim = _trimmer()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks and keep it otherwise."""
+    for forget in IDLE:
+        forget()
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch holding about ``limit`` bytes of text, one row at least."""
     sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
@@ -109,6 +132,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(int(a), int(b - a))
+            release()
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:

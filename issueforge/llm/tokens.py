@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import os
+import time
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from issueforge.llm.textvec import Words, scan
+from issueforge.llm.textvec import IDLE, Words, scan
 
-CACHED = 1_000_000  # parts kept per Python worker; the cache is emptied when full
+CACHED = 600_000  # parts kept per Python worker; the cache is emptied when full
 
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[[b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'")]] = True
@@ -28,6 +29,8 @@ class PartEncoder:
     """
 
     def __init__(self, path: str, limit: int = CACHED):
+        # Spark runs a worker per core; threads of the tokenizer's own would each keep memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -137,10 +140,25 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-@lru_cache(maxsize=4)
+_KEPT: dict[str, PartEncoder] = {}
+_LAST = [0.0]
+IDLE_SECONDS = 15.0
+
+
 def encoder(path: str) -> PartEncoder:
-    """One encoder for each worker process and tokenizer file."""
-    return PartEncoder(path)
+    """One encoder for each worker process and tokenizer file, dropped when the worker has other work."""
+    _LAST[0] = time.monotonic()
+    if path not in _KEPT:
+        _KEPT[path] = PartEncoder(path)
+    return _KEPT[path]
+
+
+def _forget() -> None:
+    if _KEPT and time.monotonic() - _LAST[0] > IDLE_SECONDS:
+        _KEPT.clear()
+
+
+IDLE.append(_forget)
 
 
 def word_bpe_path() -> str:

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from issueforge.llm.textvec import PUNCTUATED, Words, _mixed, scan, slices
 
-SAMPLE = 8000  # most labelled rows the model is fitted on
+SAMPLE = 5000  # most labelled rows the model is fitted on
 LEAST_DOCS = 3  # labelled texts a word must occur in
 PENALTY = 3e-3
 REJECT_AT = 0.3
-STEMS = (4, 5, 6)  # bytes
+STEMS = (4, 5)  # bytes
 GRADES = 3
 
 
@@ -190,6 +190,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
     return fit_ordinal(row, word, grade, **options)
 
 
+def _scores(texts: pa.Array, m: OrdinalModel) -> np.ndarray:
+    """w . x of every text."""
+    row, own = _occurrences(texts)
+    if not len(m.words) or not len(own):
+        return np.zeros(len(texts))
+    at = np.minimum(np.searchsorted(m.words, own), len(m.words) - 1)
+    hit = np.flatnonzero(m.words[at] == own)
+    pairs = np.unique(row[hit].astype(np.int64) * len(m.words) + at[hit])
+    return np.bincount(pairs // len(m.words), m.weights[pairs % len(m.words)], len(texts))
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``severity`` does not reject; needs no shuffle."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(known.value.expected(_scores(part.column("text"), known.value)) < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT) -> DataFrame:
     """(doc_id, expected_severity, grade, rejected) of every row of (doc_id, text).
 
@@ -204,13 +227,7 @@ def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = REJECT_AT)
         for batch in batches:
             for part in slices(batch, "text"):
                 n = part.num_rows
-                eta = np.zeros(n)
-                row, own = _occurrences(part.column("text"))
-                if len(m.words) and len(own):
-                    at = np.minimum(np.searchsorted(m.words, own), len(m.words) - 1)
-                    hit = np.flatnonzero(m.words[at] == own)
-                    pairs = np.unique(row[hit].astype(np.int64) * len(m.words) + at[hit])
-                    eta = np.bincount(pairs // len(m.words), m.weights[pairs % len(m.words)], n)
+                eta = _scores(part.column("text"), m)
                 below = np.hstack([np.zeros((n, 1)), m.below(eta), np.ones((n, 1))])
                 expected = m.expected(eta)
                 yield pa.RecordBatch.from_arrays(
