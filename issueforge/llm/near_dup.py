@@ -15,7 +15,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from issueforge.llm.components import connected_components
@@ -23,6 +23,7 @@ from issueforge.llm.textvec import scan, shingles, slices
 from issueforge.llm.stages import stage, with_ids
 
 SHARD_LIMIT = 4096  # fingerprints in one tree; larger shards take the exact neighbourhood way
+PIECE_BYTES = 8 << 20  # of texts whose shingle sets are compared in one task
 
 
 # fingerprints
@@ -244,22 +245,98 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, samples: int, depth
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), lists], ["doc_id", "fp", "keys"])
 
 
+def _partners(values: np.ndarray, radius: int) -> np.ndarray:
+    """Smallest position connected to each position by values within the radius; every pair is compared."""
+    root = np.arange(len(values))
+    for i in range(1, len(values)):
+        before = root[:i]
+        met = np.unique(before[np.bitwise_count(values[:i] ^ values[i]) <= radius])
+        if len(met):
+            root[i] = met[0]
+        if len(met) > 1:
+            before[np.isin(before, met)] = met[0]
+    return root
+
+
+def _members(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(cluster, id) of the ids with a fingerprint within the radius in their shard, from rows sorted by shard and id."""
+
+    def found(keys, ids, fps):
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+        root = np.arange(len(keys))
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a == 2:
+                root[a + 1] -= (int(fps[a]) ^ int(fps[a + 1])).bit_count() <= radius
+            elif b - a > 2:
+                root[a:b] = a + _partners(fps[a:b], radius)
+        met = np.bincount(root, minlength=len(keys))[root] > 1
+        # named by its smallest id: members that meet in several shards mostly stay one cluster
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[met]]), pa.array(ids[met])], ["cluster", "id"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    for batch in batches:
+        columns = [np.asarray(batch.column(i)) for i in range(3)]
+        columns[2] = columns[2].view(np.uint64)
+        now = [np.concatenate(x) for x in zip(held, columns)]
+        if not len(now[0]):
+            continue
+        last = int(np.searchsorted(now[0], now[0][-1]))
+        yield found(*(x[:last] for x in now))
+        held = [x[last:] for x in now]
+    yield found(*held)
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that span the groups of sets of at least that Jaccard similarity; no pair is left out."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")  # by shingle, then by set
+    value, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    begin = np.repeat(first, np.diff(np.append(first, len(value))))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    ends = np.cumsum(sizes)
+    root, links = np.arange(len(sets)), []
+    for i in range(1, len(sets)):
+        at = place[ends[i] - sizes[i] : ends[i]]
+        lengths = at - begin[at]  # earlier sets with the shingle
+        total = int(lengths.sum())
+        if not total:
+            continue
+        each = np.repeat(begin[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+        both = np.bincount(owner[each], minlength=i)
+        before = root[:i]
+        met = np.unique(before[both >= similarity * (sizes[:i] + sizes[i] - both) - 1e-9])
+        links += [(i, int(m)) for m in met]
+        if len(met):
+            root[i] = met[0]
+        if len(met) > 1:
+            before[np.isin(before, met)] = met[0]
+    return links
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links between the ids of each piece, from rows (piece, id, text) sorted by piece."""
+
+    def linked(ids, sets):
+        links = _similar(sets, similarity) if len(sets) > 1 else []
+        ends = ([ids[k[side]] for k in links] for side in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+
+    piece, ids, sets = None, [], []
     for batch in batches:
-        keep = []
-        sets = []
-        for name in ("text_a", "text_b"):
-            column = []
-            for part in slices(batch, name):
-                found = scan(part.column(name))
-                hashes, doc = shingles(found.hashes(), found.doc, part.num_rows, words)
-                begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                column += [np.unique(hashes[a:b]) for a, b in zip(begin, begin[1:])]
-            sets.append(column)
-        for a, b in zip(*sets):
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= similarity * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in slices(batch, "text"):
+            found = scan(part.column("text"))
+            hashes, doc = shingles(found.hashes(), found.doc, part.num_rows, words)
+            begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            for row, (p, i) in enumerate(zip(part.column("piece").to_pylist(), part.column("id").to_pylist())):
+                if p != piece:
+                    yield linked(ids, sets)
+                    piece, ids, sets = p, [], []
+                ids.append(i)
+                sets.append(np.unique(hashes[begin[row] : begin[row + 1]]))
+    yield linked(ids, sets)
 
 
 def near_duplicate_groups(
@@ -270,9 +347,10 @@ def near_duplicate_groups(
     At a Jaccard similarity of 0.8 the 64-bit SimHashes differ by about 10 bits, which no split of
     the bits into blocks can index.  Shards are therefore consistent samples: the ``depth`` smallest
     shingles under each of ``samples`` orders, shared with probability similarity ** depth each
-    (0.9998 in all at 0.8).  In a shard, BK-trees link fingerprints within the radius, and every link
-    is verified on the whole shingle sets.  Equal texts are grouped by hash beforehand, so a large
-    group of copies is one node.  Ids must be distinct.  Null and blank texts are copies of each
+    (0.9998 in all at 0.8).  In a shard, texts with a fingerprint within the radius of theirs become
+    members of clusters, which only choose what is compared: of each cluster all pairs of whole
+    shingle sets are, and only similar ones are joined.  Equal texts are grouped by hash beforehand,
+    so a large group of copies is one node.  Ids must be distinct.  Null and blank texts are copies of each
     other.  Rows with null ids are left out.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
@@ -285,28 +363,30 @@ def near_duplicate_groups(
     placed = sketch.select(F.col("doc_id").alias("id"), "fp", F.posexplode("keys").alias("sample", "key"))
     placed = placed.filter("key <> 0").select(F.xxhash64("sample", "key").alias("shard"), "id", "fp")
     sizes = placed.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    # trees stay bounded: a hot shard is cut by ranges of equal fingerprint blocks, each pair of ranges once
-    cold = placed.join(sizes, "shard")
-    links = stage(shard_links(_bounded(cold), radius).distinct(), "candidates")
-    ends = links.select(F.col("a").alias("_id")).unionByName(links.select(F.col("b").alias("_id")))
-    texts = stage(with_ids(rows, ends, "left_semi").select("doc_id", "text"), "linked-texts")
-    paired = links.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-    sure = paired.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _jaccard(b, words, similarity), "a bigint, b bigint")
+    # tasks stay bounded: hot shards and clusters are cut into chunks, each pair of chunks once
+    cold = _bounded(placed.join(sizes, "shard"), F.col("n") / SHARD_LIMIT, "shard", "id", "fp")
+    cold = cold.repartition("shard").sortWithinPartitions("shard", "id").select("shard", "id", "fp")
+    members = stage(cold.mapInArrow(lambda b: _members(b, radius), "cluster bigint, id bigint").distinct(), "candidates")
+    texts = with_ids(rows, members.select("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    texts = stage(texts.withColumn("bytes", F.octet_length("text").cast("bigint")), "linked-texts")
+    weighed = members.join(texts.select("id", "bytes"), "id")
+    weights = weighed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    load = F.greatest(F.col("n") / SHARD_LIMIT, F.col("bytes") / PIECE_BYTES)
+    pieces = _bounded(members.join(weights, "cluster"), load, "cluster", "id").withColumnRenamed("cluster", "piece")
+    full = pieces.join(texts.drop("bytes"), "id").repartition("piece").sortWithinPartitions("piece", "id").select("piece", "id", "text")
+    sure = full.mapInArrow(lambda b: _jaccard(b, words, similarity), "a bigint, b bigint")
     found = stage(connected_components(sure), "components")
     root = first.join(found, F.col("least") == F.col("node"), "left").select("same", "n", "node", F.coalesce("root", "least").alias("group_id"))
     named = root.filter("n > 1 or node is not null").select("same", "group_id")
     return hashed.join(named, "same").select("doc_id", "group_id")
 
 
-def _bounded(placed: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
-    """Shards over the limit are searched as all pairs of chunks of half the limit, spread over tasks."""
-    chunks = F.ceil(F.col("n") / F.lit(limit // 2)).cast("int")
+def _bounded(placed: DataFrame, load: Column, key: str, *columns: str) -> DataFrame:
+    """(key, columns): groups of a load over 1 are cut into all pairs of chunks of half a load, spread over tasks."""
+    hot = load > 1
+    chunks = F.ceil(load * 2).cast("int")
     own = F.pmod(F.xxhash64("id"), F.greatest(chunks, F.lit(1))).cast("int")
-    meets = F.when(F.col("n") <= limit, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1))
-    spread = placed.withColumn("own", own).withColumn("other", F.explode(meets))
-    pair = F.when(F.col("n") <= limit, F.col("shard")).otherwise(
-        F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other"))
-    )
-    return spread.select(pair.alias("shard"), "id", "fp").distinct()
+    meets = F.when(hot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(0)))
+    spread = placed.withColumn("_hot", hot).withColumn("own", own).withColumn("other", F.explode(meets))
+    pair = F.when(F.col("_hot"), F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col(key))
+    return spread.select(pair.alias(key), *columns).distinct()

@@ -126,3 +126,41 @@ def test_scan_and_shingles():
     assert (hashes[:3] == hashes[4:7]).all() and len(np.unique(hashes)) == 5
     grams, doc = shingles(hashes, found.doc, 5, 3)
     assert doc.tolist() == [0, 3, 4, 4] and grams[0] == grams[2] != grams[3]
+
+
+def brute_groups(rows, k=5, similarity=0.8):
+    grams = {}
+    for d, t in rows:
+        words = t.split()
+        grams[d] = {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+    ids = sorted(grams)
+    close = [
+        (i, j) for i in range(len(ids)) for j in range(i)
+        if len(grams[ids[i]] & grams[ids[j]]) >= similarity * len(grams[ids[i]] | grams[ids[j]]) - 1e-9
+    ]
+    return {(ids[i], ids[min(g)]) for g in _groups(len(ids), close) if len(g) > 1 for i in g}
+
+
+def family(seed, variants=60):
+    """Variants of one text, most pairs below 0.8, each with a copy near 0.9."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for v in range(variants):
+        words = list(base)
+        for n, i in enumerate(rng.sample(range(0, 300, 6), 7)):
+            words[i] = f"x{v}-{n}"
+        rows.append((v, " ".join(words)))
+        words[rng.randrange(300)] = f"y{v}"
+        words[rng.randrange(300)] = f"z{v}"
+        rows.append((1000 + v, " ".join(words)))
+    return rows
+
+
+def test_copies_within_a_family_of_variants(spark, monkeypatch):
+    rows = family(5)
+    want = brute_groups(rows)
+    assert len({g for _, g in want}) > 20
+    assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
+    monkeypatch.setattr(near_dup, "SHARD_LIMIT", 16)  # the same in pairs of chunks
+    assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
