@@ -164,3 +164,20 @@ def test_copies_within_a_family_of_variants(spark, monkeypatch):
     assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
     monkeypatch.setattr(near_dup, "SHARD_LIMIT", 16)  # the same in pairs of chunks
     assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
+
+
+def test_repeats_and_radius_lose_no_pair(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(8):  # equal sets, one phrase repeated
+        a, b = (" ".join(f"{i}{side}{k}" for k in range(7)) for side in "ab")
+        rows += [(10 * i, f"{a} {a} {b} {b}"), (10 * i + 1, " ".join([a] * 40 + [b, b])), (10 * i + 2, " ".join([a, a] + [b] * 40))]
+    for i in range(100, 500):  # just above the threshold
+        words = [f"{i}w{k}" for k in range(200)]
+        rows.append((10 * i, " ".join(words)))
+        for k in rng.sample(range(5, 195, 10), 4):
+            words[k] = "new"
+        rows.append((10 * i + 1, " ".join(words)))
+    want = brute_groups(rows)
+    assert len(want) == 8 * 3 + 400 * 2
+    assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
