@@ -23,7 +23,8 @@ from issueforge.llm.stages import stage
 from issueforge.llm.textvec import _mixed, scan, slices
 
 SIMILARITY = 0.8
-LEAST_WORDS = 5  # shorter lines are never removed
+LEAST_WORDS = 5  # of the functions' default; shorter lines are never removed
+EVERY_LINE = 1  # as least: all lines with a word
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
 N_MOST = (1 << 20) - 1  # set sizes from here on skip the size filters
@@ -117,6 +118,11 @@ def _prefix_sizes(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
+def _partnered(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a set of n words can be similar to another one than itself; equal sets are merged without a join."""
+    return (np.ceil(similarity * n - 1e-9) < n) | (np.floor(n / similarity + 1e-9) > n)
+
+
 def lines_of(docs: DataFrame, rank: np.ndarray, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
     """One row per line of at least ``least`` words: its set's identity (a, b), size and rarest words."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank)
@@ -125,7 +131,7 @@ def lines_of(docs: DataFrame, rank: np.ndarray, similarity: float = SIMILARITY,
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), ranks.value, least)
-                some = _prefix_sizes(sets.size, similarity)
+                some = np.where(_partnered(sets.size, similarity), _prefix_sizes(sets.size, similarity), 0)
                 place = np.arange(len(sets.word)) - sets.begin[sets.owner]
                 short = sets.word[place < some[sets.owner]]
                 prefix = pa.ListArray.from_arrays(

@@ -31,7 +31,7 @@ def op8_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"), least=line_dedup.EVERY_LINE)
 
 
 def op6_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,14 @@ def test_odd_rows(spark):
     assert gone == {(4, 1), (5, 1), (6, 0), (7, 501), (9, 0)}
     assert line_dedup.removed_lines(docs.limit(0)).count() == 0
     assert line_dedup.dedup_lines(docs).count() == len(rows)
+
+
+def test_short_lines_of_the_registered_query(spark, tmp_path):
+    from issueforge.llm import queries
+
+    rows = random_rows(3, 20) + [(1, "a\nb c\n\na b c d\nx y z"), (2, "A\nc b\n \na b c d e\nx y w"), (3, "a a\nz y x\nd c b a\nb"), (4, "q")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], n) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect() for n in r["removed"]}
+    assert got == brute(rows, least=1)
+    # equal sets, and four words of five
+    assert {(2, 0), (2, 1), (2, 3), (3, 0), (3, 1), (3, 2)} <= got and not {(2, 4), (3, 3), (4, 0)} & got
