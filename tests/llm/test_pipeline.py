@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from issueforge.llm import toxicity
+from issueforge.llm import line_dedup, toxicity
 from issueforge.llm.stages import stage
 from tests.llm import test_decontaminate, test_line_dedup, test_packing
 from issueforge.llm import packing
@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark, sf_dir):
             want = {r["doc_id"] for r in toxicity.severity(docs, model).collect() if not r["rejected"]}
             assert set(kept) == want and len(want) < len(rows)
         elif name == "line_dedup":
-            gone = test_line_dedup.brute(rows)
+            gone = test_line_dedup.brute(rows, least=line_dedup.EVERY_LINE)
             assert set(kept) == set(texts) and gone
             for d, t in texts.items():
                 assert kept[d] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone))
