@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, toxicity, urls
+from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, spelling, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pitman_yor_lm": op10_pitman_yor_lm,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {}
