@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, spelling, toxicity, urls
+from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, repeats, spelling, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_strings(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_repeats": op13_suffix_repeats,
 }
 
 ORACLE: dict[str, str] = {}
