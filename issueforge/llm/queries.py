@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from issueforge.llm import chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, repeats, spelling, toxicity, urls
+from issueforge.llm import align, chat, decontaminate, line_dedup, lm, near_dup, packing, pii, quality, repeats, spelling, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_strings(_table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cross_tokenizer_alignment(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_templates": op1_url_templates,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pitman_yor_lm": op10_pitman_yor_lm,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_suffix_repeats": op13_suffix_repeats,
 }
