@@ -6,8 +6,8 @@ by earlier ones, so no Python runs.  Every table is written under
 ``<name>/batch=<id>``: a replayed micro-batch overwrites its own folder, so results do not depend
 on restarts.  There is no watermark: late event times are never dropped.
 
-The ids of earlier micro-batches are read in a few files: each micro-batch adds a folder, and every
-COMPACT_EVERY of them are merged into one.
+The ids of earlier micro-batches are kept in a seen-id index (`seen_index.SeenIndex`): hash buckets
+per run, runs merged by size, so a micro-batch opens only the buckets its ids hash to.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from issueforge.operators import issues as issue_ops
 from issueforge.operators.alerts import EVAL_KEY, AlertRules
 from issueforge.plans.slices import arrival_number
 from issueforge.sources import envelopes, sinks
+from issueforge.streaming.seen_index import SeenIndex
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SNAPSHOT = (
@@ -34,7 +35,6 @@ TAIL = "issue_project string, issue_fingerprint string, received_us bigint, seq
 LAST = "issue_project string, issue_fingerprint string, count bigint, at bigint"
 IDS = "project string, fingerprint string, id bigint"
 SEEN = "event_id string, issue_project string, issue_fingerprint string"
-COMPACT_EVERY = 16
 ALERT = (
     "received_us bigint, seq bigint, rule_order int, rule string, issue_id bigint, project string, "
     "title string, reason string, at double"
@@ -90,12 +90,9 @@ def start_ingest(
     return _run(envelope_stream(session, source, max_files), each, root)
 
 
-def _seen(session: SparkSession, root: str, batch: int) -> DataFrame:
-    """Event ids stored before micro-batch ``batch`` with their issues."""
-    base = (batch - 1) // COMPACT_EVERY * COMPACT_EVERY if batch > 0 else 0
-    paths = [f"{root}/seen-merged/upto={base}"] if base else []
-    paths += [f"{root}/seen/batch={i}" for i in range(base, batch)]
-    return session.read.schema(SEEN).parquet(*paths) if paths else session.createDataFrame([], SEEN)
+def seen_index(session: SparkSession, root: str) -> SeenIndex:
+    """Event ids stored by micro-batches with their issues."""
+    return SeenIndex(session, f"{root}/seen-index", SEEN)
 
 
 def tagged(batch: DataFrame, root: str, batch_id: int, rules: GroupingRules = DEFAULT_RULES) -> DataFrame:
@@ -110,7 +107,9 @@ def tagged(batch: DataFrame, root: str, batch_id: int, rules: GroupingRules = DE
     narrow = spark.read.schema(narrow.schema).parquet(f"{root}/narrow/batch={batch_id}")
     own = issue_ops.attributed(narrow)
     ids = narrow.select("event_id").distinct()
-    known = _seen(spark, root, batch_id).join(ids, "event_id", "left_semi").select(
+    index = seen_index(spark, root)
+    index.compact(batch_id)
+    known = index.lookup(ids, batch_id).select(
         "event_id", F.col("issue_project").alias("_project"), F.col("issue_fingerprint").alias("_fingerprint")
     )
     rows = (
@@ -126,10 +125,7 @@ def tagged(batch: DataFrame, root: str, batch_id: int, rules: GroupingRules = DE
     )
     _put(rows, root, "deliveries", batch_id)
     rows = spark.read.schema(rows.schema).parquet(f"{root}/deliveries/batch={batch_id}")
-    _put(rows.filter("accepted").select("event_id", *EVAL_KEY), root, "seen", batch_id)
-    if (batch_id + 1) % COMPACT_EVERY == 0:
-        merged = _seen(spark, root, batch_id + 1)
-        merged.coalesce(16).write.mode("overwrite").parquet(f"{root}/seen-merged/upto={batch_id + 1}")
+    index.add(rows.filter("accepted").select("event_id", *EVAL_KEY), batch_id)
     return rows
 
 

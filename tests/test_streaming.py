@@ -83,8 +83,7 @@ def test_dedupe_rollup_alerts_with_restart(spark, tmp_path):
     same(streamed.select(counts.columns), counts)
 
 
-def test_tagging(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest, "COMPACT_EVERY", 2)
+def test_tagging(spark, tmp_path):
     rows = deliveries(40, 11)
     for i in range(5):
         drop(str(tmp_path / "in"), rows[i * 8 : i * 8 + 8], f"f{i}.json", 1000 + i)
@@ -94,7 +93,7 @@ def test_tagging(spark, tmp_path, monkeypatch):
     tagged = spark.read.parquet(f"{root}/deliveries").drop("batch")
     same(tagged, issues.attributed(narrow))
     assert tagged.filter(~F.col("accepted")).count() > 0
-    assert (tmp_path / "out" / "seen-merged" / "upto=4").exists()
+    assert [(r.level, r.first, r.last) for r in ingest.seen_index(spark, root).cover(5)] == [(1, 0, 3), (0, 4, 4)]
 
 
 def test_ids_never_change_and_batches_replay(spark, tmp_path):
