@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issueforge.plans.slices import DEFAULT_SLICE_US, MICROS, slice_of
+from issueforge.plans.slices import DEFAULT_SLICE_US, MICROS, SEQ_BLOCK, SLICE_ROWS, equi_depth_slices
 
 # ---- fixed values ----------------------------------------------------------------------------
 NEW_ISSUE, THRESHOLD = "new_issue", "threshold"
@@ -46,6 +46,8 @@ def rolling_counts(
     window_us: int,
     slice_us: int = DEFAULT_SLICE_US,
     prior: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
+    seq_block: int = SEQ_BLOCK,
 ) -> DataFrame:
     """A2: the issue's accepted events in the trailing window, at every delivery.
 
@@ -53,8 +55,10 @@ def rolling_counts(
     ``previous_count`` (the count at the issue's previous delivery, NULL at its first).
 
     Every accepted event is a +1 at its arrival and a -1 just after arrival + window; the count is
-    the running sum of both.  The running sum is cut into time slices, so neither a hot issue nor
-    a long window gathers in one task, and a row is shuffled at most twice as a narrow point.
+    the running sum of both.  The running sum is cut into slices of equal depth
+    (`plans.slices.equi_depth_slices`: at most ``slice_rows`` + ``seq_block`` points, cut by seq
+    inside one microsecond, histogram bins ``slice_us`` wide), so neither a hot issue, nor a
+    burst in one microsecond, nor a long window gathers in one task.
     ``prior`` (EVAL_KEY, count) gives the last count of issues evaluated in earlier batches, and
     rows flagged ``_context`` are counted but not evaluated.
     """
@@ -75,7 +79,7 @@ def rolling_counts(
     both = F.when(F.col("accepted"), F.array(arrival, expiry)).otherwise(F.array(arrival))
     points = evals.select(*EVAL_KEY, "seq", F.explode_outer(both).alias("_p")).select(*EVAL_KEY, "seq", "_p.*")
     order = ["_t", "_leaves", "seq"]
-    points = points.withColumn("_slice", slice_of("_t", slice_us))
+    points = equi_depth_slices(points, EVAL_KEY, ["_t", "_leaves", "seq"], slice_us, slice_rows, seq_block)
     inside = Window.partitionBy(*EVAL_KEY, "_slice").orderBy(*order)
     own = points.withColumn("_own", F.sum("_delta").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     is_arrival = ~F.col("_context")

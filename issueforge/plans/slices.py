@@ -15,12 +15,44 @@ from issueforge.plans.skew import keyed_join
 MICROS = 1_000_000
 DEFAULT_SLICE_US = 60 * MICROS
 DAY_US = 86_400 * MICROS
+SLICE_ROWS = 50_000  # rows a slice of an ordered computation holds at most, plus one seq block
+SEQ_BLOCK = 1024  # consecutive seq numbers: one unit of the histogram, never cut
 
 
 def slice_of(column: str, width: int) -> Column:
     return F.floor(F.col(column) / F.lit(width)).cast("bigint") if width > 1 else F.col(column)
 
 
+def equi_depth_slices(
+    points: DataFrame, keys: list[str], order: list[str], width: int, rows: int = SLICE_ROWS, block: int = SEQ_BLOCK, out: str = "_slice"
+) -> DataFrame:
+    """Add ``out``: slices of equal depth, numbered 0, 1, ... per key in ``order`` (time, ties..., seq).
+
+    Cut points come from a histogram of units (key, time, ties, seq // block): a unit has at most
+    ``block`` rows per tie value, as seq is unique, so one microsecond with any number of deliveries
+    is cut by seq.  The rows before each unit are found by a two-level scan: units inside a time bin
+    of ``width`` and bins inside a key, with the bins' totals carried down.  A unit starting after
+    r rows goes to slice r // ``rows``; a slice so holds at most ``rows`` + ``block`` rows and is a
+    contiguous range of the order.  Null keys form a key of their own.  Neither scan sees rows:
+    only units (within a bin) and bins (within a key).
+    """
+    time, *ties, seq = order
+    placed = points.withColumn("_blk", F.floor(F.col(seq) / F.lit(block)).cast("bigint")).withColumn("_bin", slice_of(time, width))
+    units = placed.groupBy(*keys, "_bin", time, *ties, "_blk").agg(F.count("*").alias("_n"))
+    bins = units.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
+    bins = bins.select(
+        *keys,
+        "_bin",
+        F.coalesce(F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_bin_before"),
+    )
+    inside = Window.partitionBy(*keys, "_bin").orderBy(time, *ties, "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("_in_bin", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    cuts = keyed_join(units, bins, [*keys, "_bin"]).select(
+        *keys, time, *ties, "_blk", F.floor((F.col("_bin_before") + F.col("_in_bin")) / F.lit(rows)).cast("bigint").alias(out)
+    )
+    return keyed_join(placed.drop("_bin"), cuts, [*keys, time, *ties, "_blk"]).drop("_blk")
+
+
 def running_total(
     points: DataFrame, keys: list[str], order: list[str], value: str, width: int, out: str
 ) -> DataFrame:

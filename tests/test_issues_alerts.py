@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from issueforge.operators import alerts, browse, issues
 from issueforge.operators.alerts import AlertRules
+from issueforge.plans import slices
 
 from .rows import envelope, frame, typed
 
@@ -174,3 +175,38 @@ def test_window_counts_have_zeros(spark):
     numbered = issues.issues_of(rows)
     got = {r.issue_id: r.window_count for r in issues.window_counts(accepted, numbered, F.lit(100), 50).collect()}
     assert got == {1: 0, 2: 2}
+
+
+@pytest.mark.parametrize("seed, window, slice_us, hot", [(5, 30, 7, 0.3), (6, 10_000, 1000, 0.5)])
+def test_small_equi_depth_slices_against_sequential_model(spark, seed, window, slice_us, hot):
+    rows, threshold = random_deliveries(1500, seed, hot), 3
+    wanted, _, _ = sequential(rows, threshold, window)
+    evals = issues.attributed(spark.createDataFrame(rows, FIELDS).repartition(5))
+    counts = alerts.rolling_counts(evals, window, slice_us, slice_rows=40, seq_block=8)
+    assert [(r.seq, r.window_count) for r in counts.orderBy("seq").collect()] == [(w[0], w[6]) for w in wanted]
+
+
+def test_burst_in_one_microsecond(spark):
+    """100,000 deliveries of one issue in one microsecond: slices stay bounded, counts follow seq."""
+    n, rows_per_slice, block = 100_000, 10_000, 1024
+    burst = spark.range(n).select(
+        F.lit("p").alias("issue_project"), F.lit("hot").alias("issue_fingerprint"), F.lit(7).cast("bigint").alias("received_us"),
+        (F.col("id") * 3).alias("seq"), (F.col("id") % 10 != 9).alias("accepted"),
+    )
+    other = spark.range(50).select(
+        F.lit("p").alias("issue_project"), F.lit("cold").alias("issue_fingerprint"), (F.col("id") * 2).alias("received_us"),
+        (F.col("id") * 3 + 1).alias("seq"), F.lit(True).alias("accepted"),
+    )
+    evals = burst.unionByName(other)
+    points = evals.select("issue_project", "issue_fingerprint", F.col("received_us").alias("_t"), F.lit(0).alias("_leaves"), "seq")
+    sliced = slices.equi_depth_slices(points, ["issue_project", "issue_fingerprint"], ["_t", "_leaves", "seq"], 60_000_000, rows_per_slice, block)
+    sizes = sliced.groupBy("issue_project", "issue_fingerprint", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= rows_per_slice + block
+    assert sizes.filter("issue_fingerprint = 'hot'").count() >= n // (rows_per_slice + block)
+    counts = alerts.rolling_counts(evals, 5, slice_rows=rows_per_slice).filter("issue_fingerprint = 'hot'")
+    got = counts.select("seq", "window_count", "previous_count").orderBy("seq").collect()
+    accepted, previous = 0, None
+    for i, r in enumerate(got):
+        accepted += i % 10 != 9
+        assert (r.seq, r.window_count, r.previous_count) == (3 * i, accepted, previous)
+        previous = accepted
