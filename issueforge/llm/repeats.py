@@ -7,15 +7,16 @@ disk and shuffle budget of this job (see README).  This module finds the same by
 same exactness argument made on content-chosen anchors, so that only strings near a repeat are
 ever exchanged:
 
-1. Anchors (winnowing).  Per document, every 32-byte gram gets a 64-bit hash; in every run of
-   169 consecutive grams (exactly one 200-byte string) each gram of least hash is an anchor.
-   Which offsets of a 200-byte string are anchors depends on its bytes alone, so two occurrences
-   of one string always share an anchor of equal hash at the same offset.
+1. Anchors (winnowing).  Per document, every 100-byte gram gets a 64-bit hash; in every run of
+   101 consecutive grams (exactly one 200-byte string) each gram of least hash is an anchor, the
+   string's own anchor.  It depends on the string's bytes alone, so two occurrences of one
+   string always have anchors of equal hash at the same offset.
 2. Anchors whose hash occurs at least twice are kept (a native count with map-side combining,
    then a semi join that adaptive execution splits where one hash is hot).
-3. Candidate strings: every 200-byte string of a document that covers a kept anchor; each gets a
-   128-bit fingerprint (two polynomial hashes, mixed).  Strings covering no repeated anchor
-   cannot repeat.
+3. Candidate strings: every 200-byte string whose own anchor was kept; each gets a 128-bit
+   fingerprint (two polynomial hashes, mixed).  A string whose own anchor's hash occurs once
+   cannot repeat.  Grams of 100 bytes repeat by chance far less than short ones, so candidates
+   are mostly strings that do repeat.
 4. Fingerprints met at least twice are repeats (again a native count with map-side combining);
    their starts are gathered per document, which is bounded by the document's length.
 5. Per document the removed bytes, their maximal runs and the digest of what is left.
@@ -40,7 +41,7 @@ from issueforge.llm.stages import stage
 
 # Fixed value of the contract: the length of a repeated string, in bytes.
 WINDOW = 200
-GRAM = 32  # bytes of an anchor gram; WINDOW - GRAM + 1 grams make one string
+GRAM = 100  # bytes of an anchor gram; WINDOW - GRAM + 1 grams make one string
 
 _B1, _B2, _BG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd bases of the polynomial hashes
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -112,16 +113,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates_of(data: bytes, anchors: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, h1, h2): every 200-byte string of one document that covers an anchor, with its fingerprint."""
+    """(starts, h1, h2): every 200-byte string of one document whose own anchor is among ``anchors``, with its fingerprint."""
     b = np.frombuffer(data, dtype=np.uint8)
-    last = len(b) - WINDOW
-    if last < 0 or not anchors:
+    if len(b) < WINDOW or not anchors:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    grams = _hashes(b, _BG, GRAM)
+    kept = np.full(len(grams), np.iinfo(np.uint64).max, dtype=np.uint64)
     at = np.asarray(anchors, dtype=np.int64)
-    step = np.zeros(last + 2, dtype=np.int64)
-    np.add.at(step, np.clip(at - (WINDOW - GRAM), 0, last), 1)
-    np.add.at(step, np.minimum(at, last) + 1, -1)
-    starts = np.flatnonzero(np.cumsum(step)[: last + 1] > 0)
+    kept[at] = grams[at]
+    span = WINDOW - GRAM + 1
+    # a kept gram reaches a string's least hash exactly when that string's own anchor was kept
+    starts = np.flatnonzero(_sliding(kept, span, True) == _sliding(grams, span, True))
     return starts, _hashes(b, _B1, WINDOW)[starts], _hashes(b, _B2, WINDOW)[starts]
 
 

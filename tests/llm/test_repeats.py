@@ -68,9 +68,9 @@ def test_anchors_shared_by_equal_strings():
         b = piece + bytes(rnd.integers(0, 256, rnd.integers(0, 300), dtype=np.uint8))
         at_a, h_a = repeats.anchors_of(a)
         at_b, h_b = repeats.anchors_of(b)
-        off = len(a) - 200
-        inside_a = {(p - off, h) for p, h in zip(at_a, h_a) if off <= p <= off + 168}
-        inside_b = {(p, h) for p, h in zip(at_b, h_b) if p <= 168}
+        off, reach = len(a) - 200, repeats.WINDOW - repeats.GRAM
+        inside_a = {(p - off, h) for p, h in zip(at_a, h_a) if off <= p <= off + reach}
+        inside_b = {(p, h) for p, h in zip(at_b, h_b) if p <= reach}
         assert inside_a & inside_b
 
 
