@@ -305,12 +305,24 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int =
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, without the lines of ``removed_lines``; no row is dropped."""
+    """The rows of ``docs``, all columns, without the lines of ``removed_lines``; no row is dropped.
+
+    Columns of any other name are carried unchanged, also ones named like the helper columns.
+    """
     gone = removed_lines(docs, similarity, least)
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\n')")
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_doc"], "left")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    taken = set(docs.columns)
+    lost, doc = (_free(name, taken) for name in ("_gone", "_doc"))
+    per_doc = gone.groupBy("doc_id").agg(F.collect_set("line").alias(lost)).withColumnRenamed("doc_id", doc)
+    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(`{lost}`, i)), '\n')")
+    joined = docs.join(per_doc, docs["doc_id"] == per_doc[doc], "left")
+    return joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(name: str, taken: set[str]) -> str:
+    """``name``, with underscores added until no column of the input has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def line_report(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:

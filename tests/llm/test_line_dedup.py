@@ -90,3 +90,15 @@ def test_short_lines_of_the_registered_query(spark, tmp_path):
     assert got == brute(rows, least=1)
     # equal sets, and four words of five
     assert {(2, 0), (2, 1), (2, 3), (3, 0), (3, 1), (3, 2)} <= got and not {(2, 4), (3, 3), (4, 0)} & got
+
+
+def test_clashing_column_names(spark):
+    text = "one two three four five six\nalpha beta gamma delta epsilon\none two three four five six"
+    rows = [(1, text, 5, "x", "y"), (2, text, None, None, "z"), (3, None, 1, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, _doc string, _Gone_ string")
+    got = {r["doc_id"]: tuple(r) for r in line_dedup.dedup_lines(docs).collect()}
+    assert line_dedup.dedup_lines(docs).columns == docs.columns
+    gone = brute([(d, t) for d, t, *_ in rows])
+    for d, t, *rest in rows:
+        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)
+        assert got[d] == (d, want, *rest)
