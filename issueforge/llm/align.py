@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from issueforge.llm.stages import stage
 # Tokenizer files: parameters of the operator, never copied into the repository.
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PAIR_ROWS = 2_000_000  # counted (a, b) pairs of about 20 bytes, broadcast below this
+CHUNK_BYTES = 1 << 20  # text tokenized at once by a Python worker
 
 
 def _byte_level() -> dict[str, int]:
@@ -62,15 +64,17 @@ class Aligner:
         self.a.no_truncation()
         self.a.encode_special_tokens = True  # their strings inside texts are plain text
         back = _byte_level()
-        self.a_bytes = {i: bytes(back[c] for c in t) for t, i in self.a.get_vocab().items() if all(c in back for c in t)}
+        a_vocab = {i: bytes(back[c] for c in t) for t, i in self.a.get_vocab().items() if all(c in back for c in t)}
+        self.a_table = _Table([a_vocab.get(i, b"") for i in range(max(a_vocab) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.b_bytes = []
+        b_vocab = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
-                self.b_bytes.append(bytes([int(piece[3:5], 16)]))
+                b_vocab.append(bytes([int(piece[3:5], 16)]))
             else:
-                self.b_bytes.append(piece.replace("▁", " ").encode("utf-8"))
+                b_vocab.append(piece.replace("▁", " ").encode("utf-8"))
+        self.b_table = _Table(b_vocab)
 
     def tokens(self, texts: list[str | None]) -> list[tuple | None]:
         """Per text: (a_ids, a_ends, a_refined, b_ids, b_ends, b_refined) with byte ends in space+text, or None."""
@@ -82,31 +86,50 @@ class Aligner:
             if not text:
                 out.append(None)
                 continue
-            whole = s.encode("utf-8")
-            a_pieces = [self.a_bytes.get(i, b"\xff\xff") for i in a.ids]
-            b_pieces = [self.b_bytes[p.id] for p in b.pieces]
-            if b"".join(a_pieces) != whole or b"".join(b_pieces) != whole:
+            whole = np.frombuffer(s.encode("utf-8"), dtype=np.uint8)
+            a_ids = np.asarray(a.ids, dtype=np.int64)
+            spans = np.array([(p.id, p.begin, p.end) for p in b.pieces], dtype=np.int64).reshape(-1, 3)
+            b_ids = spans[:, 0]
+            if not (self.a_table.spells(a_ids, whole) and self.b_table.spells(b_ids, whole)):
                 out.append(None)
                 continue
-            chars = np.zeros(len(s) + 1, dtype=np.int64)
-            np.cumsum([len(c.encode("utf-8")) for c in s], out=chars[1:])
-            a_lo = np.array([chars[o[0]] for o in a.offsets], dtype=np.int64)
-            a_hi = np.array([chars[o[1]] for o in a.offsets], dtype=np.int64)
-            b_lo = np.array([0 if k == 0 else p.begin + 1 for k, p in enumerate(b.pieces)], dtype=np.int64)
-            b_hi = np.array([p.end + 1 for p in b.pieces], dtype=np.int64)
-            a_ends, a_refined = _refine(a_lo, a_hi, a_pieces)
-            b_ends, b_refined = _refine(b_lo, b_hi, b_pieces)
-            out.append((np.asarray(a.ids, np.int64), a_ends, a_refined, np.asarray([p.id for p in b.pieces], np.int64), b_ends, b_refined))
+            # byte offset of every character of space+text, and of its end
+            chars = np.append(np.flatnonzero((whole & 0xC0) != 0x80), len(whole))
+            offsets = np.asarray(a.offsets, dtype=np.int64).reshape(-1, 2)
+            b_lo = spans[:, 1] + 1
+            b_lo[:1] = 0  # the space sentencepiece adds belongs to its first piece
+            a_ends, a_refined = _refine(chars[offsets[:, 0]], chars[offsets[:, 1]], self.a_table.sizes[a_ids])
+            b_ends, b_refined = _refine(b_lo, spans[:, 2] + 1, self.b_table.sizes[b_ids])
+            out.append((a_ids, a_ends, a_refined, b_ids, b_ends, b_refined))
         return out
 
 
-def _refine(lo: np.ndarray, hi: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, int]:
+class _Table:
+    """Token bytes of a vocabulary in one buffer, for vectorized lengths and spelling checks."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.buffer = np.frombuffer(b"".join(pieces) or b"\0", dtype=np.uint8)
+
+    def spells(self, ids: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether the tokens' bytes, joined, are exactly ``whole``; unknown or empty tokens spell nothing."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes)):
+            return False
+        sizes = self.sizes[ids]
+        if sizes.sum() != len(whole) or (len(ids) and sizes.min() == 0):
+            return False
+        ends = np.cumsum(sizes)
+        at = np.arange(len(whole)) - np.repeat(ends - sizes, sizes) + np.repeat(self.starts[ids], sizes)
+        return bool(np.array_equal(self.buffer[at], whole))
+
+
+def _refine(lo: np.ndarray, hi: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
     """Byte ends of tokens: the coarse range where it holds exactly the token's bytes at its place, else the decoded bytes laid on.
 
     Returns the ends and how many tokens needed the decoded bytes.  As the joined bytes equal the
     text, laying every token on gives the same ends; the coarse ranges are the first word.
     """
-    sizes = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
     ends = np.cumsum(sizes)
     starts = ends - sizes
     coarse = (lo == starts) & (hi - lo == sizes)
@@ -114,19 +137,23 @@ def _refine(lo: np.ndarray, hi: np.ndarray, pieces: list[bytes]) -> tuple[np.nda
     return ends, int(np.count_nonzero(~coarse))
 
 
-def alignment(a_ids, a_ends, b_ids, b_ends) -> tuple[int, str, Counter]:
-    """(n_groups, groups text, links by id pair) of one document's two token sequences."""
+def alignment(a_ids, a_ends, b_ids, b_ends) -> tuple[int, str, np.ndarray, np.ndarray, np.ndarray]:
+    """(n_groups, groups text, linked a ids, b ids, multiplicities) of one document's two token sequences."""
     cuts = np.intersect1d(a_ends, b_ends)
     a_group = np.searchsorted(cuts, a_ends)
     b_group = np.searchsorted(cuts, b_ends)
-    bounds = np.arange(1, len(cuts))
-    a_parts = np.split(a_ids, np.searchsorted(a_group, bounds))
-    b_parts = np.split(b_ids, np.searchsorted(b_group, bounds))
-    parts = [",".join(map(str, x.tolist())) + "|" + ",".join(map(str, y.tolist())) for x, y in zip(a_parts, b_parts)]
+    # every group has tokens of both sides: A ids joined by ',', '|', B ids joined by ',', then ';'
+    a_tail = np.where(np.append(a_group[1:] == a_group[:-1], False), ",", "|")
+    b_tail = np.where(np.append(b_group[1:] == b_group[:-1], False), ",", ";")
+    b_tail[-1:] = ""
+    words = [f"{i}{t}" for i, t in zip(a_ids.tolist(), a_tail.tolist())] + [f"{i}{t}" for i, t in zip(b_ids.tolist(), b_tail.tolist())]
+    order = np.argsort(np.concatenate([a_group * 2, b_group * 2 + 1]), kind="stable")
+    text = "".join([words[k] for k in order.tolist()])
     # the pieces between consecutive ends of either side: each lies in one A and one B token
     pieces = np.union1d(a_ends, b_ends)
-    links = Counter(zip(a_ids[np.searchsorted(a_ends, pieces)].tolist(), b_ids[np.searchsorted(b_ends, pieces)].tolist()))
-    return len(cuts), ";".join(parts), links
+    keys = a_ids[np.searchsorted(a_ends, pieces)] * 65536 + b_ids[np.searchsorted(b_ends, pieces)]
+    pairs, counts = np.unique(keys, return_counts=True)
+    return len(cuts), text, pairs // 65536, pairs % 65536, counts
 
 
 _ALIGNER: Aligner | None = None
@@ -136,28 +163,60 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     global _ALIGNER
     if _ALIGNER is None:
         _ALIGNER = Aligner()
-    for batch in batches:
-        rows, docs = batch.column("_row").to_pylist(), batch.column("_doc").to_pylist()
-        found = _ALIGNER.tokens(batch.column("_text").to_pylist())
-        cols = {k: [] for k in ("_row", "_doc", "a", "b", "mult", "n_a", "n_b", "n_groups", "n_links", "n_refined", "groups_sha256")}
-        for row, doc, t in zip(rows, docs, found):
-            n_a = n_b = groups = n_links = refined = 0
-            digest = ""
-            if t is not None:
-                a_ids, a_ends, a_ref, b_ids, b_ends, b_ref = t
-                groups, text, links = alignment(a_ids, a_ends, b_ids, b_ends)
-                n_a, n_b, refined, n_links = len(a_ids), len(b_ids), a_ref + b_ref, sum(links.values())
-                digest = hashlib.sha256(text.encode()).hexdigest()
-                for (a, b), m in links.items():
-                    for k, v in zip(("_row", "_doc", "a", "b", "mult"), (row, doc, a, b, m)):
-                        cols[k].append(v)
-                    for k in ("n_a", "n_b", "n_groups", "n_links", "n_refined", "groups_sha256"):
-                        cols[k].append(None)
-            for k, v in zip(cols, (row, doc, None, None, None, n_a, n_b, groups, n_links, refined, digest)):
-                cols[k].append(v)
-        yield pa.RecordBatch.from_pydict(cols, schema=_SCHEMA)
+    for whole in batches:
+        for batch in _pieces(whole):
+            yield from _aligned(batch)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of about CHUNK_BYTES of text: a library's token objects take far more memory than the text."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > CHUNK_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += int(size)
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _aligned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The document rows of a slice, then its link rows (distinct id pairs with multiplicity)."""
+    rows, docs = batch.column("_row").to_pylist(), batch.column("_doc").to_pylist()
+    found = _ALIGNER.tokens(batch.column("_text").to_pylist())
+    stats = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "n_refined", "groups_sha256")}
+    owners, a_all, b_all, mult = [], [], [], []
+    for k, t in enumerate(found):
+        values = (0, 0, 0, 0, 0, "")
+        if t is not None:
+            a_ids, a_ends, a_ref, b_ids, b_ends, b_ref = t
+            groups, text, a, b, m = alignment(a_ids, a_ends, b_ids, b_ends)
+            values = (len(a_ids), len(b_ids), groups, int(m.sum()), a_ref + b_ref, hashlib.sha256(text.encode()).hexdigest())
+            owners.append(np.full(len(a), k, dtype=np.int64))
+            a_all.append(a)
+            b_all.append(b)
+            mult.append(m)
+        for key, v in zip(stats, values):
+            stats[key].append(v)
+    n = len(rows)
+    yield pa.record_batch(
+        [pa.array(rows, pa.int64()), pa.array(docs, pa.int64()), *(pa.nulls(n, pa.int64()) for _ in range(3))]
+        + [pa.array(stats[k], pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links", "n_refined")]
+        + [pa.array(stats["groups_sha256"], pa.string())],
+        schema=_SCHEMA,
+    )
+    if owners:
+        at = np.concatenate(owners)
+        row_ids, doc_ids = batch.column("_row").take(pa.array(at)), batch.column("_doc").take(pa.array(at))
+        links = len(at)
+        yield pa.record_batch(
+            [row_ids, doc_ids, pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all)), pa.array(np.concatenate(mult).astype(np.int64))]
+            + [pa.nulls(links, pa.int64()) for _ in range(5)]
+            + [pa.nulls(links, pa.string())],
+            schema=_SCHEMA,
+        )
+
 _SCHEMA = pa.schema(
     [("_row", pa.int64()), ("_doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("mult", pa.int64())]
     + [(k, pa.int64()) for k in ("n_a", "n_b", "n_groups", "n_links", "n_refined")]
