@@ -442,7 +442,7 @@ def normalize_module(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sql_normalize_message(spark: SparkSession, sf: str) -> DataFrame:
-    """the SQL functions over documents, pages and derived components."""
+    """the SQL functions over documents: texts, sources, and module paths built from source and language."""
     sql_functions.register(spark)
     documents = derived.table(spark, sf, "documents")
     return documents.selectExpr(
