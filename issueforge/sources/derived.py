@@ -28,6 +28,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+TASK_ROWS = 50_000  # rows of a task that decodes or fingerprints each of them
+
+
+def spread_rows(scan: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """Tasks of about ``rows`` rows each, at least one per core, whatever the files' row groups.
+
+    Splits of a scan follow bytes: a row group is read by one task, and a narrow table holds millions of rows in
+    the bytes of one split.  Only raw columns are redistributed; the count is answered from the footers.
+    """
+    wanted = -(-scan.count() // rows)
+    return scan.repartition(max(wanted, scan.sparkSession.sparkContext.defaultParallelism))
+
+
 def wall_micros(df: DataFrame, column: str) -> Column:
     """Microseconds of a timestamp column's wall clock, whatever the session's time zone."""
     ts = F.col(column)
@@ -42,7 +55,7 @@ def _text(*parts: Column | str) -> Column:
 
 def events_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, received_us, user_id, event_type, value, k."""
-    events = table(spark, sf_dir, "events")
+    events = spread_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return events.select(
         F.col("event_id").alias("seq"),
         wall_micros(events, "ts").alias("received_us"),

@@ -103,3 +103,19 @@ def test_lookup_of_one_issue_is_pushed_to_the_scan(spark, tmp_path):
     assert detail.count() == 50
     one = events.filter("issue_id is not null").select("issue_id").collect()
     assert [r[0] for r in one] == sorted(r[0] for r in one)
+
+
+def test_events_are_cut_by_rows_not_by_splits(spark, tmp_path, sf_dir):
+    one_group = spark.read.parquet(f"{sf_dir}/events.parquet").limit(1000).coalesce(1)
+    one_group.write.parquet(str(tmp_path / "events.parquet"))
+    parts = derived.spread_rows(spark.read.parquet(str(tmp_path / "events.parquet")), 20).rdd.glom().map(len).collect()
+    assert len(parts) == 50 and max(parts) <= 40
+    assert "RoundRobinPartitioning" in plan(derived.deliveries(spark, str(tmp_path)))
+
+
+def test_a_judged_field_does_not_decode_the_others(spark):
+    from issueforge.sources import envelopes
+
+    lines = spark.range(2).selectExpr("id AS seq", "id AS received_us", "'{}' AS raw").repartition(2)
+    text = plan(envelopes.parsed(lines).select("seq", "level"))
+    assert "level" in text and "lineno" not in text and "breadcrumbs" not in text
