@@ -192,7 +192,37 @@ def _stacktrace(x: Column) -> Column:
 _VALUE = {"type": text, "value": text, "stacktrace": _stacktrace}
 
 
+# schema_of_variant of an exception whose leaves have the types of the columns; unknown keys do not match
+_PLAIN_FRAME = (
+    r"OBJECT<(?:(?:(?:colno|lineno): BIGINT|in_app: BOOLEAN"
+    r"|(?:context_line|filename|function|module): STRING|\w+: VOID)(?:, |(?=>)))*>"
+)
+_PLAIN_TRACE = rf"OBJECT<frames: ARRAY<(?:VOID|{_PLAIN_FRAME})>>"
+_PLAIN_VALUE = rf"OBJECT<(?:(?:(?:type|value): STRING|stacktrace: {_PLAIN_TRACE}|\w+: VOID)(?:, |(?=>)))*>"
+_PLAIN_EXCEPTION = rf"^OBJECT<values: ARRAY<{_PLAIN_VALUE}>>$"
+
+
 def _exception(x: Column) -> Column:
+    """One cast where every leaf has its column's type, else field by field.
+
+    The cast cannot tell an absent list from a null one, and the schema of a list hides its null
+    elements: where the cast left any of these null, the fields are judged one by one as well.
+    """
+    plain = F.when(_kind(x).rlike(_PLAIN_EXCEPTION), _as(x, EXCEPTION_TYPE))
+    return bind(plain, lambda e: F.when(_whole(e), _checked(F.lit(True), e)).otherwise(_exception_by_field(x)))
+
+
+def _whole(exception: Column) -> Column:
+    """No null element, no stack trace without frames."""
+
+    def traced(trace: Column) -> Column:
+        frames = F.coalesce(F.forall(trace["frames"], lambda f: f.isNotNull()), F.lit(False))
+        return trace.isNull() | frames
+
+    return F.coalesce(F.forall(exception["values"], lambda v: v.isNotNull() & traced(v["stacktrace"])), F.lit(False))
+
+
+def _exception_by_field(x: Column) -> Column:
     values = {"values": lambda v: _records(v, _VALUE, EXCEPTION_VALUE_TYPE)}
     return _optional(x, _record(x, values, EXCEPTION_TYPE))
 
@@ -229,26 +259,22 @@ def parsed(deliveries: DataFrame) -> DataFrame:
     typed fields.  Defaults fill absent keys only.  Of a repeated key the last value counts, which
     needs the session setting in ``session.RECOMMENDED``; without it this refuses to run.
 
-    The decoded document leaves a one-row `explode_outer`: later filters on its fields (valid rows only)
-    stop there, whereas they would be pushed through a projection and repeat the whole decoding.
+    Each field is a projection of its own, so that Spark decodes the fields a query asks for.  A filter on a
+    field would be pushed below and decode it again: `validated` puts a one-row `explode_outer` in its way.
     """
     if deliveries.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
         raise ValueError("set spark.sql.variant.allowDuplicateKeys to true: documents that repeat a key would be lost")
     rows = deliveries.select(
         "seq", "received_us", "raw", _as(F.try_parse_json("raw"), OBJECT).alias("_doc")
     )
-    wrong = F.array_compact(F.array(*[F.when(~F.col(f"_d.e.{n}.ok"), F.lit(n)) for n in _ENVELOPE]))
     decoded = rows.select(
-        "seq", "received_us", "raw", F.explode_outer(F.array(F.struct(F.col("_doc").isNotNull().alias("whole"), bind(F.col("_doc"), _envelope).alias("e")))).alias("_d")
-    )
-    return decoded.select(
-        "seq", "received_us", "raw", F.col("_d.whole").alias("_is_object"), wrong.alias("_wrong"),
-        *[F.col(f"_d.e.{n}.v").alias(n) for n in _ENVELOPE],
+        "seq", "received_us", "raw", F.col("_doc").isNotNull().alias("_is_object"),
+        *[_field(check, _key(F.col("_doc"), n)).alias(n) for n, check in _ENVELOPE.items()],
     )
-
-
-def _envelope(m: Column) -> Column:
-    return F.struct(*[_field(check, _key(m, n)).alias(n) for n, check in _ENVELOPE.items()])
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"{n}.ok"), F.lit(n)) for n in _ENVELOPE]))
+    return decoded.select(
+        "seq", "received_us", "raw", "_is_object", wrong.alias("_wrong"), *[F.col(f"{n}.v").alias(n) for n in _ENVELOPE]
+    )
 
 
 def valid_event_id(event_id: Column) -> Column:
@@ -289,17 +315,15 @@ def validated(deliveries: DataFrame) -> DataFrame:
         )
     )
     typed = F.concat(F.transform("_wrong", lambda n: F.concat(F.lit("type:"), n)), field_reasons)
-    return (
-        rows.withColumn("_fields", typed)
-        .withColumn(
-            "reasons",
-            F.when(~F.col("_is_object"), F.array(F.lit("json")))
-            .when(F.size("_fields") > 0, F.col("_fields"))
-            .when(~has_payload(F.col("exception"), F.col("message")), F.array(F.lit("payload")))
-            .otherwise(F.array().cast("array<string>")),
-        )
-        .drop("_fields", "_is_object", "_wrong")
+    reasons = (
+        F.when(~F.col("_is_object"), F.array(F.lit("json")))
+        .when(F.size("_fields") > 0, F.col("_fields"))
+        .when(~has_payload(F.col("exception"), F.col("message")), F.array(F.lit("payload")))
+        .otherwise(F.array().cast("array<string>"))
     )
+    # filters on the reasons stop here instead of repeating the decoding below
+    judged = rows.withColumn("_fields", typed).select("*", F.explode_outer(F.array(reasons)).alias("reasons"))
+    return judged.drop("_fields", "_is_object", "_wrong")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from issueforge.sources import envelopes
 
@@ -93,3 +94,21 @@ def test_split_keeps_every_row(spark):
     assert row.m == "m" and json.loads(row.d) == {"a": [1]} and json.loads(row.x) == {"z": None}
     report = {r.reason: r.rows for r in envelopes.validation_report(checked).collect()}
     assert report == {"valid": 2, "json": 1}
+
+
+def test_exception_in_one_cast_equals_field_by_field(spark):
+    frame = '{"function":"f","filename":"a.js","lineno":1,"colno":null,"in_app":true}'
+    traces = [
+        "null", "{}", '{"frames":null}', '{"frames":[]}', '{"frames":[null]}', '{"frames":[' + frame + "]}", "7", "[]",
+        '{"frames":[' + frame + ',null]}', '{"frames":[{"lineno":"7"}]}', '{"frames":[{"lineno":1.0}]}', '{"frames":{}}',
+        '{"frames":[{"lineno":1,"lineno":2}]}', '{"frames":[{"in_app":1}]}', '{"frames":[{"other":1,"module":"m"}]}',
+        '{"frames":[{"function":5}]}', '{"frames":[{"lineno: BIGINT, colno":1}]}', '{"frames":[[]]}',
+    ]
+    values = [f'{{"type":"T","stacktrace":{t}}}' for t in traces] + ["null", "{}", '{"type":3}', '{"value":"v"}', "[]", '"x"']
+    lists = [f"[{v}]" for v in values] + [f"[{v},{w}]" for v in values for w in (values[3], values[5], values[2])]
+    docs = [f'{{"values":{v}}}' for v in lists + ["null", "[]", "{}"]] + ["null", "{}", "[]", "1", '{"values":[],"more":1}']
+    x = F.try_parse_json("raw")
+    rows = spark.createDataFrame([(d,) for d in docs], "raw string").select("raw", x.alias("x"))
+    got = rows.select("raw", envelopes._exception(F.col("x")).alias("a"), envelopes._exception_by_field(F.col("x")).alias("b"))
+    assert got.filter("not (a <=> b)").collect() == []
+    assert {r["ok"] for r in got.select("a.ok").collect()} == {True, False}
