@@ -16,6 +16,7 @@ NARROW = (
     "event_id", "seq", "received_us", "project", "fingerprint", "level", "timestamp", "type",
     "culprit", "title",
 )
+WIDE_TASK_ROWS = 50_000  # rows with payload that one task reads from a shuffle
 ISSUE_KEY = ["project", "fingerprint"]
 FIRST_FIELDS = ("level", "type", "culprit", "title", "sample_event_id", "first_received_us", "first_seq")
 ISSUE_COLUMNS = (
@@ -63,8 +64,14 @@ def redelivered(rows: DataFrame) -> DataFrame:
 
 
 def drop_redelivered(rows: DataFrame) -> DataFrame:
-    """D1 for wide rows: payloads are not shuffled by event_id, only the losing ids are looked up."""
-    return rows.join(redelivered(rows), "seq", "left_anti")
+    """D1 for wide rows: payloads are not shuffled by event_id, only the losing ids are looked up.
+
+    Where the ids are too many to broadcast, both sides are dealt by seq into tasks of about
+    ``WIDE_TASK_ROWS`` rows, however many shuffle partitions the session has: their number follows the rows.
+    """
+    fixed = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(fixed, -(-rows.count() // WIDE_TASK_ROWS))
+    return rows.join(redelivered(rows).repartition(tasks, "seq"), "seq", "left_anti")
 
 
 def rollup_partials(accepted: DataFrame) -> DataFrame:

@@ -119,3 +119,11 @@ def test_a_judged_field_does_not_decode_the_others(spark):
     lines = spark.range(2).selectExpr("id AS seq", "id AS received_us", "'{}' AS raw").repartition(2)
     text = plan(envelopes.parsed(lines).select("seq", "level"))
     assert "level" in text and "lineno" not in text and "breadcrumbs" not in text
+
+
+def test_wide_dedupe_deals_payloads_by_their_number(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(issues, "WIDE_TASK_ROWS", 20, raising=False)
+    wide = derived.deliveries(spark, sf_dir).hint("merge")
+    kept = issues.drop_redelivered(wide)
+    assert len(re.findall(r"hashpartitioning\(seq#\d+L, 50\)", plan(kept))) == 2
+    assert kept.count() == issues.dedupe(wide).count()
