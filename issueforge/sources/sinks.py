@@ -17,9 +17,12 @@ def payload() -> Column:
     return F.to_json(F.struct(*ENVELOPE_FIELDS), {"ignoreNullFields": "false"})
 
 
-def event_rows(resolved: DataFrame) -> DataFrame:
-    """S2 rows from accepted envelopes that carry fingerprint, issue_id and the arrival columns."""
-    return resolved.withColumn("payload", payload()).select(
+def event_rows(resolved: DataFrame, envelope: Column | None = None) -> DataFrame:
+    """S2 rows from accepted envelopes that carry fingerprint, issue_id and the arrival columns.
+
+    ``envelope`` is the payload where it is written already; the typed envelope is then not needed.
+    """
+    return resolved.withColumn("payload", payload() if envelope is None else envelope).select(
         "event_id",
         "issue_id",
         "fingerprint",

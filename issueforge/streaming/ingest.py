@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules
+from issueforge.functions.fingerprint import DEFAULT_RULES, GroupingRules, with_fingerprint
 from issueforge.operators import alerts as alert_ops
 from issueforge.operators import issues as issue_ops
 from issueforge.operators.alerts import EVAL_KEY, AlertRules
@@ -67,6 +67,18 @@ def _get(session: SparkSession, root: str, name: str, batch: int, schema: str) -
     return session.read.schema(schema).parquet(f"{root}/{name}/batch={batch}")
 
 
+def _staged(checked: DataFrame, root: str, batch_id: int, rules: GroupingRules, *more: Column) -> DataFrame:
+    """Validated deliveries decoded once and written: NARROW, ``reasons``, ``raw`` of rejected rows and ``more``.
+
+    Every table of the micro-batch reads these flat columns; caching the typed envelopes instead keeps all their
+    nested columns and decodes a batch again where it does not fit.
+    """
+    raw = F.when(F.size("reasons") > 0, F.col("raw")).alias("raw")
+    rows = with_fingerprint(checked, rules).select(*issue_ops.NARROW, "reasons", raw, *more)
+    _put(rows, root, "checked", batch_id)
+    return checked.sparkSession.read.schema(rows.schema).parquet(f"{root}/checked/batch={batch_id}")
+
+
 def _run(rows: DataFrame, each: Callable[[DataFrame, int], None], root: str) -> StreamingQuery:
     return (
         rows.writeStream.foreachBatch(each)
@@ -82,10 +94,9 @@ def start_ingest(
     """ST1: accepted (fingerprinted) and quarantined rows, one folder per micro-batch each."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        _put(issue_ops.fingerprinted(envelopes.accepted(batch), rules), root, "accepted", batch_id)
-        _put(envelopes.quarantined(batch), root, "quarantine", batch_id)
-        batch.unpersist()
+        staged = _staged(batch, root, batch_id, rules)
+        _put(envelopes.accepted(staged).select(*issue_ops.NARROW), root, "accepted", batch_id)
+        _put(envelopes.quarantined(staged), root, "quarantine", batch_id)
 
     return _run(envelope_stream(session, source, max_files), each, root)
 
@@ -101,10 +112,14 @@ def tagged(batch: DataFrame, root: str, batch_id: int, rules: GroupingRules = DE
     Exact over the whole history.  Writes the tagged rows and the ids they add, and returns the
     written rows.  A replayed micro-batch reads the ids of those before it only.
     """
-    spark = batch.sparkSession
     narrow = issue_ops.fingerprinted(envelopes.accepted(batch), rules)
     _put(narrow, root, "narrow", batch_id)
-    narrow = spark.read.schema(narrow.schema).parquet(f"{root}/narrow/batch={batch_id}")
+    return _tagged(batch.sparkSession.read.schema(narrow.schema).parquet(f"{root}/narrow/batch={batch_id}"), root, batch_id)
+
+
+def _tagged(narrow: DataFrame, root: str, batch_id: int) -> DataFrame:
+    """`tagged` for valid deliveries that are written already with their fingerprints."""
+    spark = narrow.sparkSession
     own = issue_ops.attributed(narrow)
     ids = narrow.select("event_id").distinct()
     index = seen_index(spark, root)
@@ -167,21 +182,25 @@ def ingest_batch(
     a redelivery of an earlier one's, whatever their arrival times.
     """
     spark = checked.sparkSession
-    checked = checked.persist() if store_events else checked
-    batch = tagged(checked, root, batch_id)
+    if store_events:
+        payload = F.when(F.size("reasons") == 0, sinks.payload()).alias("payload")
+        staged = _staged(checked, root, batch_id, DEFAULT_RULES, payload)
+        stored = envelopes.accepted(staged)
+        batch = _tagged(stored.select(*issue_ops.NARROW), root, batch_id)
+    else:
+        batch = tagged(checked, root, batch_id)
     accepted = batch.filter("accepted")
     before = _get(spark, root, "issues", batch_id - 1, SNAPSHOT)
     _put(issue_ops.merge_partials(before, issue_ops.rollup_partials(accepted)), root, "issues", batch_id)
     issues = _numbered(spark, root, batch_id)
     if store_events:
-        keys = accepted.select("seq", "project", "fingerprint").join(
+        # payloads stay where they are while Spark can broadcast the redelivered rows and the issues
+        full = stored.join(batch.filter("not accepted").select("seq"), "seq", "left_anti").join(
             issues.select("project", "fingerprint", F.col("id").alias("issue_id")), ["project", "fingerprint"]
         )
-        full = envelopes.accepted(checked).join(keys.drop("project"), "seq")
-        even = sinks.event_rows(full).sortWithinPartitions("project", "day", "issue_id", "timestamp")
+        even = sinks.event_rows(full, F.col("payload")).sortWithinPartitions("project", "day", "issue_id", "timestamp")
         even.write.mode("overwrite").partitionBy("project", "day").parquet(f"{root}/events/batch={batch_id}")
-        _put(envelopes.quarantined(checked), root, "quarantine", batch_id)
-        checked.unpersist()
+        _put(envelopes.quarantined(staged), root, "quarantine", batch_id)
     if rules is not None:
         fired = _fired(batch, root, batch_id, issues, before, rules, int(skew_seconds * 1_000_000))
         if fired is not None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from issueforge.operators import alerts, issues
 from issueforge.operators.alerts import AlertRules
-from issueforge.sources import envelopes
+from issueforge.sources import envelopes, sinks
 from issueforge.streaming import ingest
 
 from .rows import envelope, frame
@@ -110,3 +110,25 @@ def test_ids_never_change_and_batches_replay(spark, tmp_path):
     assert {(r["project"], r["fingerprint"]): r["issue_id"] for r in events}.items() <= seen.items()
     counts = spark.read.parquet(f"{root}/issues/batch=3").agg(F.sum("count")).first()[0]
     assert counts == len(events)
+
+
+def test_durable_ingest_decodes_once_and_caches_nothing(spark, tmp_path, monkeypatch):
+    """The events, narrow and quarantine tables come from one written decoding of the batch."""
+    rows = deliveries(60)
+    checked = batch_side(spark, rows)
+    root = str(tmp_path / "out")
+
+    def cached(*_):
+        raise AssertionError("typed envelopes were cached")
+
+    monkeypatch.setattr(type(checked), "persist", cached)
+    ingest.ingest_batch(checked, root, 0)
+    staged = spark.read.parquet(f"{root}/checked/batch=0")
+    assert "exception" not in staged.columns and staged.count() == 60
+    assert staged.filter("(size(reasons) > 0) <> (payload is null) or (size(reasons) > 0) <> (raw is not null)").count() == 0
+    first = issues.dedupe(issues.fingerprinted(envelopes.accepted(checked)))
+    stored = spark.read.parquet(f"{root}/events")
+    same(stored.select("event_id", "fingerprint", "project", "level", "timestamp"), first.select("event_id", "fingerprint", "project", "level", "timestamp"))
+    whole = envelopes.accepted(checked).select("seq", sinks.payload().alias("payload")).join(first.select("seq"), "seq")
+    same(stored.select("payload"), whole.select("payload"))
+    same(spark.read.parquet(f"{root}/quarantine").select("seq", "raw", "reasons"), envelopes.quarantined(checked).select("seq", "raw", "reasons"))
