@@ -805,23 +805,32 @@ def breadcrumbs_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- streaming -------------------------------------------------------------------------------------------
 
-FILES_PER_BATCH = 4
+FILES_PER_BATCH = 4  # at least
+ROWS_TO_FILL_A_FILE = 1_000  # of a batch on average, so that none of its files stays unwritten
 STREAM_BATCHES = 3
 
 
-def write_lines(spark: SparkSession, rows: DataFrame, batches: int = STREAM_BATCHES) -> str:
-    """Drop (seq, received_us, raw) as collector files, in arrival order, and return the folder."""
-    rows = materialize(rows, "raw")
+def write_lines(spark: SparkSession, rows: DataFrame, batches: int = STREAM_BATCHES) -> tuple[str, int]:
+    """Drop (seq, received_us, raw) as collector files, in arrival order; the folder and the files of a batch.
+
+    Files follow the rows, so that a large batch is written by more tasks.  Every batch has the same number of
+    them, as a micro-batch takes that many; a batch too small to fill them all sets it.  The times are read
+    from the narrow columns alone, and each batch builds only its own texts.
+    """
     low, high = rows.agg(F.min("received_us"), F.max("received_us")).first()
     width = (high - low) // batches + 1
+    batch = F.floor((F.col("received_us") - low) / F.lit(width))
+    sizes = {r[0]: r[1] for r in rows.groupBy(batch.alias("batch")).count().collect()}
+    least = min(sizes.get(i, 0) for i in range(batches))
+    files = max(FILES_PER_BATCH, min(-(-max(sizes.values()) // derived.TASK_ROWS), least // ROWS_TO_FILL_A_FILE))
     path = scratch_path(spark, "stream")
     record = F.to_json(F.struct("seq", "received_us", F.col("raw").alias("body")))
     for i in range(batches):
         part = rows.filter(
             (F.col("received_us") >= low + i * width) & (F.col("received_us") < low + (i + 1) * width)
         )
-        part.select(record.alias("value")).repartition(FILES_PER_BATCH).write.mode("append").text(path)
-    return path
+        part.select(record.alias("value")).repartition(files).write.mode("append").text(path)
+    return path, files
 
 
 def _stream(spark: SparkSession) -> SparkSession:
@@ -832,8 +841,8 @@ def _stream(spark: SparkSession) -> SparkSession:
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: accepted rows and the quarantine, one row each."""
     root = scratch_path(spark, "ingest")
-    source = write_lines(spark, json_deliveries(spark, sf))
-    ingest.start_ingest(_stream(spark), source, root, FILES_PER_BATCH).awaitTermination()
+    source, files = write_lines(spark, json_deliveries(spark, sf))
+    ingest.start_ingest(_stream(spark), source, root, files).awaitTermination()
     good = spark.read.parquet(f"{root}/accepted").select("seq", "fingerprint", F.lit("").alias("reasons"))
     bad = spark.read.parquet(f"{root}/quarantine").select(
         "seq", F.lit("").alias("fingerprint"), F.array_join("reasons", ",").alias("reasons")
@@ -845,8 +854,8 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """ST2: every delivery with its stored issue and whether it was counted."""
     root = scratch_path(spark, "dedupe")
-    source = write_lines(spark, clean_lines(spark, sf))
-    ingest.start_dedupe(_stream(spark), source, root, FILES_PER_BATCH).awaitTermination()
+    source, files = write_lines(spark, clean_lines(spark, sf))
+    ingest.start_dedupe(_stream(spark), source, root, files).awaitTermination()
     return spark.read.parquet(f"{root}/deliveries").select(
         "seq", "event_id", "fingerprint", "accepted", "issue_project", "issue_fingerprint"
     )
@@ -859,8 +868,8 @@ def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def run_issue_stream(spark: SparkSession, lines: DataFrame, rules: AlertRules | None = None) -> str:
     root = scratch_path(spark, "issues")
-    source = write_lines(spark, lines)
-    ingest.start_issues(_stream(spark), source, root, FILES_PER_BATCH, rules).awaitTermination()
+    source, files = write_lines(spark, lines)
+    ingest.start_issues(_stream(spark), source, root, files, rules).awaitTermination()
     return root
 
 
@@ -882,9 +891,8 @@ def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_out_of_order(spark: SparkSession, sf: str) -> DataFrame:
     """ST5: deliveries arrive newest event first; nothing is dropped as late."""
     reversed_time = (F.lit(4_000_000_000_000_000) - (F.col("timestamp") * 1e6)).cast("bigint")
-    lines = clean_lines(spark, sf).drop("received_us")
-    times = derived.deliveries(spark, sf).select("seq", reversed_time.alias("received_us"))
-    root = run_issue_stream(spark, lines.join(times, "seq"))
+    lines = derived.deliveries(spark, sf).select("seq", reversed_time.alias("received_us"), sinks.payload().alias("raw"))
+    root = run_issue_stream(spark, lines)
     return ingest.read_latest(spark, root, "issues", ingest.SNAPSHOT)
 
 

@@ -127,3 +127,18 @@ def test_wide_dedupe_deals_payloads_by_their_number(spark, sf_dir, monkeypatch):
     kept = issues.drop_redelivered(wide)
     assert len(re.findall(r"hashpartitioning\(seq#\d+L, 50\)", plan(kept))) == 2
     assert kept.count() == issues.dedupe(wide).count()
+
+
+def test_collector_files_follow_the_rows(spark, monkeypatch):
+    """A large batch is written by more than four tasks, the same number for each batch, none empty."""
+    from issueforge import registry
+
+    monkeypatch.setattr(registry.derived, "TASK_ROWS", 40)
+    monkeypatch.setattr(registry, "ROWS_TO_FILL_A_FILE", 30)
+    rows = spark.range(1200).selectExpr("id seq", "id * 7 received_us", "concat('body ', id) raw").repartition(5)
+    path, files = registry.write_lines(spark, rows)
+    assert files == 10
+    lines = spark.read.text(path).select("_metadata.file_path", F.from_json("value", "seq bigint, received_us bigint, body string").alias("r"))
+    per_file = lines.groupBy("file_path").agg(F.min(F.floor(F.col("r.seq") / 400)).alias("low"), F.max(F.floor(F.col("r.seq") / 400)).alias("high")).collect()
+    assert len(per_file) == 3 * files and all(f.low == f.high for f in per_file)
+    assert sorted(map(tuple, lines.select("r.*").collect())) == sorted(map(tuple, rows.collect()))
