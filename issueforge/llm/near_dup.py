@@ -23,6 +23,7 @@ from issueforge.llm.textvec import scan, shingles, slices
 from issueforge.llm.stages import stage, with_ids
 
 SHARD_LIMIT = 4096  # fingerprints in one tree; larger shards take the exact neighbourhood way
+QUERIES = 256  # searched in a tree at once
 PIECE_BYTES = 8 << 20  # of texts whose shingle sets are compared in one task
 
 
@@ -246,16 +247,50 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, samples: int, depth
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), lists], ["doc_id", "fp", "keys"])
 
 
+def _levels(values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """BK-tree of distinct values, a level at a time: (nodes, parents, distances to the parents), all as positions."""
+    items, children, rows = values.tolist(), [{} for _ in values], [[(0, 0, 0)]]
+    for i in range(1, len(items)):
+        node, depth = 0, 1
+        while True:
+            distance = (items[node] ^ items[i]).bit_count()
+            if distance not in children[node]:
+                break
+            node, depth = children[node][distance], depth + 1
+        children[node][distance] = i
+        if depth == len(rows):
+            rows.append([])
+        rows[depth].append((i, node, distance))
+    return [tuple(np.array(r, dtype=np.int64).T) for r in rows]
+
+
+def _searched(values: np.ndarray, levels: list, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(near, visited) by query and value: edges are followed whose distance lies within the radius of the query's."""
+    visited = np.zeros((len(queries), len(values)), dtype=bool)
+    distance = np.zeros((len(queries), len(values)), dtype=np.int16)
+    visited[:, 0] = True
+    distance[:, 0] = np.bitwise_count(queries ^ values[0])
+    for nodes, parents, edges in levels[1:]:
+        query, edge = np.nonzero(visited[:, parents] & (np.abs(distance[:, parents] - edges.astype(np.int16)) <= radius))
+        visited[query, nodes[edge]] = True
+        distance[query, nodes[edge]] = np.bitwise_count(queries[query] ^ values[nodes[edge]])
+    return visited & (distance <= radius), visited
+
+
 def _partners(values: np.ndarray, radius: int) -> np.ndarray:
-    """Smallest position connected to each position by values within the radius; every pair is compared."""
+    """Smallest position connected to each position by values within the radius, found in the shard's BK-tree."""
+    distinct, place = np.unique(values, return_inverse=True)
+    levels = _levels(distinct)
     root = np.arange(len(values))
-    for i in range(1, len(values)):
-        before = root[:i]
-        met = np.unique(before[np.bitwise_count(values[:i] ^ values[i]) <= radius])
-        if len(met):
-            root[i] = met[0]
-        if len(met) > 1:
-            before[np.isin(before, met)] = met[0]
+    for start in range(0, len(values), QUERIES):
+        near, _ = _searched(distinct, levels, values[start : start + QUERIES], radius)
+        for i in range(max(start, 1), min(start + QUERIES, len(values))):
+            before = root[:i]
+            met = np.unique(before[near[i - start, place[:i]]])
+            if len(met):
+                root[i] = met[0]
+            if len(met) > 1:
+                before[np.isin(before, met)] = met[0]
     return root
 
 
@@ -348,7 +383,8 @@ def near_duplicate_groups(
     At a Jaccard similarity of 0.8 the 64-bit SimHashes differ by about 10 bits, which no split of
     the bits into blocks can index.  Shards are therefore consistent samples: the ``depth`` smallest
     shingles under each of ``samples`` orders, shared with probability similarity ** depth each
-    (0.9998 in all at 0.8; the radius loses 1 in 100,000 there).  In a shard, texts with a fingerprint within the radius of theirs become
+    (0.9998 in all at 0.8; the radius loses 1 in 100,000 there).  Each shard's fingerprints form a BK-tree that
+    is searched within the radius; texts that find a partner there become
     members of clusters, which only choose what is compared: of each cluster all pairs of whole
     shingle sets are, and only similar ones are joined.  Equal texts are grouped by hash beforehand,
     so a large group of copies is one node.  Ids must be distinct.  Null and blank texts are copies of each

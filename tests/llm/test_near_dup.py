@@ -181,3 +181,17 @@ def test_repeats_and_radius_lose_no_pair(spark):
     want = brute_groups(rows)
     assert len(want) == 8 * 3 + 400 * 2
     assert {tuple(r) for r in near_dup.near_duplicate_groups(frame(spark, rows)).collect()} == want
+
+
+def test_shards_are_searched_in_a_tree():
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.integers(0, 1 << 62, 120).astype(np.uint64), np.arange(40, dtype=np.uint64)])
+    values = np.concatenate([values, values[:60] ^ np.uint64(1 << 40)])
+    distinct = np.unique(values)
+    for radius in (2, 23):
+        near, visited = near_dup._searched(distinct, near_dup._levels(distinct), values, radius)
+        assert (near == (np.bitwise_count(values[:, None] ^ distinct) <= radius)).all()
+        pairs = [(i, j) for i in range(len(values)) for j in range(i) if (int(values[i]) ^ int(values[j])).bit_count() <= radius]
+        root = near_dup._partners(values, radius)
+        assert {tuple(np.flatnonzero(root == r)) for r in root} == {tuple(g) for g in _groups(len(values), pairs)}
+        assert radius > 2 or visited.mean() < 0.7  # edges beyond the radius are not followed
