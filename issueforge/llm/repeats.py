@@ -13,16 +13,19 @@ ever exchanged:
    string always have anchors of equal hash at the same offset.
 2. Anchors whose hash occurs at least twice are kept (a native count with map-side combining,
    then a semi join that adaptive execution splits where one hash is hot).
-3. Candidate strings: every 200-byte string whose own anchor was kept; each gets a 128-bit
-   fingerprint (two polynomial hashes, mixed).  A string whose own anchor's hash occurs once
-   cannot repeat.  Grams of 100 bytes repeat by chance far less than short ones, so candidates
-   are mostly strings that do repeat.
-4. Fingerprints met at least twice are repeats (again a native count with map-side combining);
-   their starts are gathered per document, which is bounded by the document's length.
-5. Per document the removed bytes, their maximal runs and the digest of what is left.
-
-Two strings are taken as equal when their 128-bit fingerprints are: over n candidate strings a
-false match has probability below n^2 / 2^128.  Each input row is one document, repeated rows
+3. Neighbourhoods.  Every string over a kept gram as its own anchor lies within 100 bytes before
+   and after it, so one 128-bit fingerprint of those bytes stands for all of them.  Neighbourhoods
+   are counted (natively, with map-side combining): where one occurs at least twice, all its
+   strings are repeats, and no single string is listed.
+4. Neighbourhoods met once may still share strings with others of the same anchor.  Only their
+   anchors' distinct neighbourhoods are exchanged, as bytes, and compared string by string in the
+   task that holds the anchor; each gets a 101-bit mask of the strings it shares.  An anchor of over
+   GROUP neighbourhoods is not gathered: its strings' fingerprints are counted natively.
+5. Masks go back to the places by a join and are gathered per document, which is bounded by the
+   document's length: the removed bytes, their maximal runs and the digest of what is left.
+
+Strings and neighbourhoods are taken as equal when their 128-bit fingerprints are: over n of them
+a false match has probability below n^2 / 2^128.  Each input row is one document, repeated rows
 included (a repeated row's strings all start elsewhere too).  Python runs per document in
 Arrow batches; counting, joining and grouping are Spark's.
 """
@@ -34,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ from issueforge.llm.stages import stage
 # Fixed value of the contract: the length of a repeated string, in bytes.
 WINDOW = 200
 GRAM = 100  # bytes of an anchor gram; WINDOW - GRAM + 1 grams make one string
+REACH = WINDOW - GRAM  # a string over an anchor starts at most so far before it
+GROUP = 4096  # distinct neighbourhoods of one anchor compared in a task
 
 _B1, _B2, _BG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd bases of the polynomial hashes
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -68,6 +74,16 @@ def _hashes(b: np.ndarray, base: int, size: int) -> np.ndarray:
     return _mix((prefix[size:] - prefix[:starts]) * inverse[:starts])
 
 
+def _ranges(b: np.ndarray, base: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Polynomial hash, not mixed, of the bytes ``low`` to ``high`` of ``b``, modulo 2^64."""
+    n = len(b)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(n, base, dtype=np.uint64)), dtype=np.uint64)
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)), dtype=np.uint64)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(b.astype(np.uint64) * powers[:n], dtype=np.uint64, out=prefix[1:])
+    return (prefix[high] - prefix[low]) * inverse[low]
+
+
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     """Least (or greatest) value of every run of ``w`` entries, by start (van Herk / Gil-Werman)."""
     fill = np.iinfo(np.uint64).max if least else 0
@@ -112,41 +128,136 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate(rows)), pa.array(np.concatenate(offsets)), pa.array(np.concatenate(hashes))], names=["_row", "pos", "h"])
 
 
-def candidates_of(data: bytes, anchors: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, h1, h2): every 200-byte string of one document whose own anchor is among ``anchors``, with its fingerprint."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if len(b) < WINDOW or not anchors:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    grams = _hashes(b, _BG, GRAM)
-    kept = np.full(len(grams), np.iinfo(np.uint64).max, dtype=np.uint64)
-    at = np.asarray(anchors, dtype=np.int64)
-    kept[at] = grams[at]
-    span = WINDOW - GRAM + 1
-    # a kept gram reaches a string's least hash exactly when that string's own anchor was kept
-    starts = np.flatnonzero(_sliding(kept, span, True) == _sliding(grams, span, True))
-    return starts, _hashes(b, _B1, WINDOW)[starts], _hashes(b, _B2, WINDOW)[starts]
+def places_of(data: bytes, anchors: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, hashes, n1, n2) of some anchors of one document: the gram's hash and its neighbourhood's fingerprint."""
+    b, at = np.frombuffer(data, dtype=np.uint8), np.asarray(anchors, dtype=np.int64)
+    low, high = np.maximum(at - REACH, 0), np.minimum(at + WINDOW, len(b))
+    shape = ((at - low) * 1024 + high - low).astype(np.uint64)  # how the document's ends cut it
+    return at, _hashes(b, _BG, GRAM)[at], *(_mix(_ranges(b, base, low, high) + shape) for base in (_B1, _B2))
 
 
-def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, starts, h1, h2 = [], [], [], []
+        parts = []
         for row, data, at in zip(batch.column("_row").to_pylist(), _text_bytes(batch.column("_text")), batch.column("at").to_pylist()):
-            s, a, c = candidates_of(data, at or [])
-            rows.append(np.full(len(s), row, np.int64))
-            starts.append(s)
-            h1.append(a.view(np.int64))
-            h2.append(c.view(np.int64))
-        if rows:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (rows, starts, h1, h2)], names=["_row", "start", "h1", "h2"])
+            found = places_of(data, at)
+            parts.append([np.full(len(at), row, np.int64), *(x.view(np.int64) for x in found)])
+        if parts:
+            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["_row", "pos", "h", "n1", "n2"])
 
 
-def removal(data: bytes, starts: list[int]) -> tuple[int, int, int, str]:
+def _neighbourhood_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes around the asked places, one row each; ``before`` are the bytes in front of the gram."""
+    for batch in batches:
+        asked, near = batch.column("asked"), []
+        flat = asked.flatten()
+        ends = np.cumsum(pa.compute.list_value_length(asked).to_numpy())
+        before = np.minimum(np.asarray(flat.field("pos")), REACH)
+        for data, positions in zip(_text_bytes(batch.column("_text")), np.split(np.asarray(flat.field("pos")), ends[:-1])):
+            near += [data[max(p - REACH, 0) : p + WINDOW] for p in positions.tolist()]
+        yield pa.record_batch(
+            [*(flat.field(c) for c in ("h", "n1", "n2", "k", "m")), pa.array(before), pa.array(near, pa.binary())],
+            names=["h", "n1", "n2", "k", "m", "before", "near"],
+        )
+
+
+def strings_of(before: np.ndarray, near: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, h1, h2) of the strings of some neighbourhoods, by neighbourhood and bytes in front of the gram (0 to REACH)."""
+    width = REACH + WINDOW
+    sizes = np.asarray(pa.compute.binary_length(near), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    first = np.arange(len(near)) * width + REACH - before  # grams lie under each other
+    data = np.frombuffer(b"".join(near.to_pylist()), dtype=np.uint8)
+    laid = np.zeros(len(near) * width, dtype=np.uint64)
+    laid[np.arange(len(data)) + np.repeat(first - (ends - sizes), sizes)] = data
+    laid = laid.reshape(-1, width)
+    hashes = []
+    for base in (_B1, _B2):
+        powers = np.cumprod(np.append(np.uint64(1), np.full(width - 1, base, dtype=np.uint64)), dtype=np.uint64)
+        back = np.cumprod(np.append(np.uint64(1), np.full(REACH, pow(base, -1, 1 << 64), dtype=np.uint64)), dtype=np.uint64)
+        prefix = np.zeros((len(near), width + 1), dtype=np.uint64)
+        np.cumsum(laid * powers, axis=1, dtype=np.uint64, out=prefix[:, 1:])
+        hashes.append(_mix((prefix[:, WINDOW:] - prefix[:, : REACH + 1]) * back)[:, ::-1])
+    ahead = np.arange(REACH + 1)[None, :]
+    inside = (ahead <= before[:, None]) & (WINDOW - ahead <= (sizes - before)[:, None])
+    return inside, *hashes
+
+
+def _twice(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether each of the 128-bit values occurs more than once."""
+    order = np.argsort(h1)
+    same = h1[order[1:]] == h1[order[:-1]]
+    if (same & (h2[order[1:]] != h2[order[:-1]])).any():  # equal first halves must be told apart
+        order = np.lexsort((h2, h1))
+        same = h1[order[1:]] == h1[order[:-1]]
+    same &= h2[order[1:]] == h2[order[:-1]]
+    out = np.zeros(len(h1), dtype=bool)
+    out[order[1:]] = same
+    out[order[:-1]] |= same
+    return out
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, n1, n2, low, high): strings that neighbourhoods met once share with others of their anchor; rows are sorted by h."""
+
+    def shared(rows: pa.RecordBatch) -> pa.RecordBatch:
+        h = np.asarray(rows.column("h"))
+        group = np.cumsum(np.diff(h, prepend=h[:1]) != 0)
+        inside, h1, h2 = strings_of(np.asarray(rows.column("before")), rows.column("near"))
+        at, ahead = np.nonzero(inside)
+        place = (group[at] * (REACH + 1) + ahead).astype(np.uint64)  # only strings of one anchor and offset are compared
+        hits = np.zeros(inside.shape, dtype=bool)
+        hits[at, ahead] = _twice(_mix(h1[at, ahead] ^ _mix(place)), h2[at, ahead])
+        some = np.flatnonzero((np.asarray(rows.column("k")) == 1) & hits.any(axis=1))
+        bit = np.uint64(1) << (np.arange(REACH + 1, dtype=np.uint64) & np.uint64(63))
+        set_bits = np.where(hits[some], bit, np.uint64(0))
+        masks = [np.bitwise_or.reduce(half, axis=1).view(np.int64) for half in (set_bits[:, :64], set_bits[:, 64:])]
+        columns = [rows.column(c).take(pa.array(some)) for c in ("h", "n1", "n2")]
+        return pa.record_batch([*columns, *map(pa.array, masks)], names=["h", "n1", "n2", "low", "high"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        h = np.asarray(now.column("h"))
+        last = int(np.searchsorted(h, h[-1]))
+        start = 0
+        while start < last:  # whole anchors, about GROUP rows at once
+            stop = min(int(np.searchsorted(h, h[min(start + GROUP, last) - 1], side="right")), last)
+            yield shared(now.slice(start, stop - start))
+            start = stop
+        held = now.slice(last)
+    if held is not None:
+        yield shared(held)
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fingerprints of all strings of neighbourhoods, one row each."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, GROUP):
+            rows = batch.slice(start, GROUP)
+            inside, h1, h2 = strings_of(np.asarray(rows.column("before")), rows.column("near"))
+            at, ahead = np.nonzero(inside)
+            columns = [rows.column(c).take(pa.array(at)) for c in ("h", "n1", "n2", "k")]
+            values = [pa.array(ahead), *(pa.array(x[at, ahead].view(np.int64)) for x in (h1, h2))]
+            yield pa.record_batch([*columns, *values], names=["h", "n1", "n2", "k", "ahead", "h1", "h2"])
+
+
+def starts_of(positions: list[int], low: list[int], high: list[int], size: int) -> np.ndarray:
+    """Starts of the strings that masks name at places of a document of ``size`` bytes."""
+    at = np.asarray(positions, dtype=np.int64)
+    masks = np.stack([np.asarray(low, dtype=np.int64), np.asarray(high, dtype=np.int64)], axis=1)
+    bits = np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little")[:, : REACH + 1]
+    place, ahead = np.nonzero(bits)
+    starts = at[place] - ahead
+    return starts[(starts >= 0) & (starts + WINDOW <= size)]
+
+
+def removal(data: bytes, starts: np.ndarray) -> tuple[int, int, int, str]:
     """(n_bytes, n_removed, n_spans, kept_sha256) of one document given the starts of its repeated strings."""
     b = np.frombuffer(data, dtype=np.uint8)
-    step = np.zeros(len(b) + 1, dtype=np.int64)
-    at = np.asarray(starts or [], dtype=np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + WINDOW, -1)
+    step = np.bincount(starts, minlength=len(b) + 1) - np.bincount(starts + WINDOW, minlength=len(b) + 1)
     gone = np.cumsum(step)[: len(b)] > 0
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(b) > 0 and gone[0]))
     return len(b), int(gone.sum()), spans, hashlib.sha256(b[~gone].tobytes()).hexdigest()
@@ -154,33 +265,67 @@ def removal(data: bytes, starts: list[int]) -> tuple[int, int, int, str]:
 
 def _report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [removal(data, at) for data, at in zip(_text_bytes(batch.column("_text")), batch.column("at").to_pylist())]
+        out = []
+        for data, found in zip(_text_bytes(batch.column("_text")), batch.column("found")):
+            masks = [np.asarray(found.values.field(c)) for c in ("pos", "low", "high")] if found.is_valid else [[], [], []]
+            out.append(removal(data, starts_of(*masks, len(data))))
         yield pa.record_batch(
             [batch.column("_doc"), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.array([o[3] for o in out], pa.string())],
             names=["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
+def _counted(near: DataFrame, names: list[str]) -> DataFrame:
+    """The masks of ``_shared_rows`` for anchors of very many neighbourhoods: their strings counted by Spark."""
+    columns = "h long, n1 long, n2 long, k long, ahead long, h1 long, h2 long"
+    strings = stage(near.mapInArrow(_string_rows, columns), "repeats-strings")
+    key = ["h", "ahead", "h1", "h2"]
+    again = strings.groupBy(*key).count().filter("count > 1").select(*key)
+    hits = strings.filter("k = 1").join(again, key, "left_semi")
+    bit = F.expr("shiftleft(1L, cast(ahead % 64 as int))")
+    half = lambda which: F.bit_or(F.when(which, bit).otherwise(F.lit(0).cast("long")))
+    return hits.groupBy(*names).agg(half(F.col("ahead") < 64).alias("low"), half(F.col("ahead") >= 64).alias("high"))
+
+
+def repeated_strings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (long), kept_sha256 (string): one row per input row.
 
     Texts are UTF-8 bytes (null: empty); a byte is removed when a 200-byte string over it also
     starts at another offset of the same or another document (overlapping ones included).
     n_spans counts maximal removed runs; kept_sha256 is the lowercase hex SHA-256 of the bytes
     left.  Texts shorter than 200 bytes lose nothing.  Null doc_ids stay null; repeated rows are
-    separate documents; an empty table gives no rows; only doc_id and text are read.
+    separate documents; an empty table gives no rows; only doc_id and text are read.  Anchors of more
+    than ``group`` different neighbourhoods take another way to the same rows.
     """
-    own = stage(docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id()), "repeats-docs")
+    own = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    own = stage(own, "repeats-docs", compression="zstd")
     anchors = stage(own.select("_row", "_text").mapInArrow(_anchor_rows, "_row long, pos long, h long"), "repeats-anchors")
     twice = anchors.groupBy("h").count().filter("count >= 2").select("h")
     kept = anchors.join(twice, "h", "left_semi").groupBy("_row").agg(F.collect_list("pos").alias("at"))
-    strings = stage(own.select("_row", "_text").join(kept, "_row").mapInArrow(_candidate_rows, "_row long, start long, h1 long, h2 long"), "repeats-strings")
-    again = strings.groupBy("h1", "h2").count().filter("count >= 2").select("h1", "h2")
-    found = strings.join(again, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_list("start").alias("at"))
+    texts = own.select("_row", "_text")
+    names = ["h", "n1", "n2"]
+    places = stage(texts.join(kept, "_row").mapInArrow(_place_rows, "_row long, pos long, h long, n1 long, n2 long"), "repeats-places")
+    near = places.groupBy(*names).agg(F.count("*").alias("k"), F.first("_row").alias("_row"), F.first("pos").alias("pos"))
+    near = stage(near, "repeats-neighbourhoods")
+    # neighbourhoods met once are compared with all others of their anchor, one copy of each
+    mixed = near.groupBy("h").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("h", "m")
+    around = "h long, n1 long, n2 long, k long, m long, before long, near binary"
+
+    def compared(anchors: DataFrame) -> DataFrame:
+        asked = near.join(anchors, "h").groupBy("_row").agg(F.collect_list(F.struct("pos", *names, "k", "m")).alias("asked"))
+        # neighbourhoods of one document overlap and are written next to each other, which zstd makes small
+        return stage(texts.join(asked, "_row").mapInArrow(_neighbourhood_rows, around), "repeats-compared", compression="zstd")
+
+    few, wide = mixed.filter(F.col("m") <= group), mixed.filter(F.col("m") > group)
+    by_anchor = compared(few).repartition("h").sortWithinPartitions("h")
+    masks = stage(by_anchor.mapInArrow(_shared_rows, "h long, n1 long, n2 long, low long, high long"), "repeats-shared")
+    if not wide.isEmpty():
+        masks = masks.unionByName(_counted(compared(wide), names))
+    all_of = F.lit(-1).cast("long")
+    verdicts = near.filter("k > 1").select(*names, all_of.alias("low"), all_of.alias("high")).unionByName(masks)
+    found = places.join(verdicts, names).groupBy("_row").agg(F.collect_list(F.struct("pos", "low", "high")).alias("found"))
+    found = stage(found, "repeats-found")
     columns = "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    removed = own.join(found, "_row").select("_doc", "_text", "at").mapInArrow(_report_rows, columns)
-    whole = F.encode(F.coalesce("_text", F.lit("")), "UTF-8")
-    untouched = own.join(found, "_row", "left_anti").select(
-        "_doc", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole, 256).alias("kept_sha256")
-    )
-    return removed.unionByName(untouched).withColumnRenamed("_doc", "doc_id")
+    # one join, so that the texts are shuffled once; documents without repeats have no masks
+    reported = own.join(found, "_row", "left").select("_doc", "_text", "found").mapInArrow(_report_rows, columns)
+    return reported.withColumnRenamed("_doc", "doc_id")

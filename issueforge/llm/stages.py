@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from issueforge.session import materialize
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` to the shared folder, reads it back and lets Spark drop the shuffle files behind it.
 
     Spark's cleaner removes the files of a shuffle once the driver has collected the objects that
     refer to it, which an idle driver does late; a long operator would keep all of them on disk.
+    ``options`` are the Parquet writer's.
     """
-    out = materialize(df, name)
+    out = materialize(df, name, **options)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

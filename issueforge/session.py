@@ -65,11 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/issueforge/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write once and read back: cuts lineage, survives executor loss, keeps column pruning.
 
-    Used where several branches of one job read the same regex-heavy stage.
+    Used where several branches of one job read the same regex-heavy stage.  ``options`` are the Parquet writer's.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

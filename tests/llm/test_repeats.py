@@ -80,3 +80,22 @@ def test_empty_table_and_clashing_columns(spark):
     t = "word " * 80
     clash = spark.createDataFrame([(1, t, 5, "x", 3), (2, t, 6, "y", 4)], "doc_id bigint, text string, _row long, _text string, at int")
     assert result(repeats.repeated_strings(clash)) == brute([(1, t), (2, t)])
+
+
+def test_near_copies_store_neighbourhoods_not_strings(spark, monkeypatch):
+    rnd = random.Random(11)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    base, part = text(150), text(30)
+    rows = [(i, base) for i in range(6)] + [(i, f"{text(20)} {base[: 40 * i]} {text(3)} {base[40 * i :]}") for i in range(6, 20)]
+    rows += [(i, text(10) + part + text(10)) for i in range(20, 30)] + [(30, base[:250]), (31, base[-230:])]
+    written = {}
+    keep = repeats.stage
+    monkeypatch.setattr(repeats, "stage", lambda df, name, **options: written.setdefault(name, keep(df, name, **options)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert result(repeats.repeated_strings(docs)) == want
+    n_strings = sum(max(len(t) - 199, 0) for _, t in rows)
+    assert max(df.count() for name, df in written.items() if name != "repeats-docs") < n_strings / 8
+    written.clear()
+    assert result(repeats.repeated_strings(docs, group=2)) == want  # the counted way
+    assert written["repeats-strings"].count()
