@@ -278,7 +278,7 @@ def _report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(near: DataFrame, names: list[str]) -> DataFrame:
     """The masks of ``_shared_rows`` for anchors of very many neighbourhoods: their strings counted by Spark."""
     columns = "h long, n1 long, n2 long, k long, ahead long, h1 long, h2 long"
-    strings = stage(near.mapInArrow(_string_rows, columns), "repeats-strings")
+    strings = near.mapInArrow(_string_rows, columns)  # read twice, as they would take more room than their bytes
     key = ["h", "ahead", "h1", "h2"]
     again = strings.groupBy(*key).count().filter("count > 1").select(*key)
     hits = strings.filter("k = 1").join(again, key, "left_semi")
@@ -299,8 +299,9 @@ def repeated_strings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     own = stage(own, "repeats-docs", compression="zstd")
-    anchors = stage(own.select("_row", "_text").mapInArrow(_anchor_rows, "_row long, pos long, h long"), "repeats-anchors")
-    twice = anchors.groupBy("h").count().filter("count >= 2").select("h")
+    # computed twice, as all anchors would take much room and most are dropped
+    anchors = own.select("_row", "_text").mapInArrow(_anchor_rows, "_row long, pos long, h long")
+    twice = stage(anchors.groupBy("h").count().filter("count >= 2").select("h"), "repeats-anchors")
     kept = anchors.join(twice, "h", "left_semi").groupBy("_row").agg(F.collect_list("pos").alias("at"))
     texts = own.select("_row", "_text")
     names = ["h", "n1", "n2"]
@@ -310,17 +311,14 @@ def repeated_strings(docs: DataFrame, group: int = GROUP) -> DataFrame:
     # neighbourhoods met once are compared with all others of their anchor, one copy of each
     mixed = near.groupBy("h").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("h", "m")
     around = "h long, n1 long, n2 long, k long, m long, before long, near binary"
-
-    def compared(anchors: DataFrame) -> DataFrame:
-        asked = near.join(anchors, "h").groupBy("_row").agg(F.collect_list(F.struct("pos", *names, "k", "m")).alias("asked"))
-        # neighbourhoods of one document overlap and are written next to each other, which zstd makes small
-        return stage(texts.join(asked, "_row").mapInArrow(_neighbourhood_rows, around), "repeats-compared", compression="zstd")
-
-    few, wide = mixed.filter(F.col("m") <= group), mixed.filter(F.col("m") > group)
-    by_anchor = compared(few).repartition("h").sortWithinPartitions("h")
+    asked = near.join(mixed, "h").groupBy("_row").agg(F.collect_list(F.struct("pos", *names, "k", "m")).alias("asked"))
+    # neighbourhoods of one document overlap and are written next to each other, which zstd makes small
+    compared = stage(texts.join(asked, "_row").mapInArrow(_neighbourhood_rows, around), "repeats-compared", compression="zstd")
+    by_anchor = compared.filter(F.col("m") <= group).repartition("h").sortWithinPartitions("h")
     masks = stage(by_anchor.mapInArrow(_shared_rows, "h long, n1 long, n2 long, low long, high long"), "repeats-shared")
+    wide = compared.filter(F.col("m") > group)
     if not wide.isEmpty():
-        masks = masks.unionByName(_counted(compared(wide), names))
+        masks = masks.unionByName(stage(_counted(wide, names), "repeats-counted"))
     all_of = F.lit(-1).cast("long")
     verdicts = near.filter("k > 1").select(*names, all_of.alias("low"), all_of.alias("high")).unionByName(masks)
     found = places.join(verdicts, names).groupBy("_row").agg(F.collect_list(F.struct("pos", "low", "high")).alias("found"))

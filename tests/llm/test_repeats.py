@@ -98,4 +98,4 @@ def test_near_copies_store_neighbourhoods_not_strings(spark, monkeypatch):
     assert max(df.count() for name, df in written.items() if name != "repeats-docs") < n_strings / 8
     written.clear()
     assert result(repeats.repeated_strings(docs, group=2)) == want  # the counted way
-    assert written["repeats-strings"].count()
+    assert written["repeats-counted"].count()
