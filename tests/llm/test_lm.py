@@ -81,3 +81,42 @@ def test_seating_follows_the_restaurant():
         assert abs(got.mean() - want) < 0.05 * want + 0.1
         assert (got >= 1).all() and (got <= c).all()
     assert lm.seat(np.array([0, 1]), 0.5, 3, 1.0, 0.5, np.array([1, 2], dtype=np.uint64)).tolist() == [0, 1]
+
+
+def test_the_word_before_counts(spark):
+    """Words of one length and class, told apart by the word before them alone."""
+    train = spark.createDataFrame([("lamp glow fire burn",), ("fire burn lamp glow",)] * 20, "text string")
+    model = lm.fit(train)
+    texts = ["lamp glow", "lamp burn", "fire burn", "fire glow"]
+    docs = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    for frequent in (2, 1 << 17):
+        score = {r["doc_id"]: r["score"] for r in lm.score(docs, model, frequent).collect()}
+        assert score[0] > score[1] + 1 and score[2] > score[3] + 1
+
+
+def test_word_contexts_sum_to_one(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lm.fit(docs)
+    hashes, _, lp, weight = lm._top(model, 1 << 20)
+    gains = dict(zip(*(x.tolist() for x in lm._top_pairs(model, 1 << 22))))
+    common = model.words.orderBy("c", ascending=False).limit(40).collect()
+    classes = {}
+    for batch in docs.select("text").toArrow().to_batches():
+        context, _, kinds, _ = lm._tokens(found := lm.scan(batch.column("text")), found.hashes())
+        classes |= dict(zip(context.tolist(), kinds.tolist()))
+    contexts = [(h, w) for h, w in ((r["hash"] % 2**64, r["weight"]) for r in common) if h] + [(1, model.start)]
+    for h, w in contexts:
+        k = classes[h]
+        pairs = lm.pair_hashes(np.full(len(hashes), h, np.uint64), hashes)
+        gain = np.array([gains.get(x, 0.0) for x in pairs.tolist()])
+        assert w < 0 and (gain > 0).any()
+        assert math.isclose((10.0 ** (lp[:, k] + gain)).sum() + 10.0 ** model.unknown[k], 10.0**-w, rel_tol=1e-6)
+
+
+def test_pairs_are_those_of_the_texts(spark):
+    texts = ["a b a", None, "B a", "", "a b"]
+    found = lm.scan(lm.pa.array(texts))
+    context, word, _, row = lm._tokens(found, found.hashes())
+    a, b = lm.scan(lm.pa.array(["a b"])).hashes().tolist()
+    want = [(0, 1, a), (0, a, b), (0, b, a), (0, a, 0), (1, 1, 0), (2, 1, b), (2, b, a), (2, a, 0), (3, 1, 0), (4, 1, a), (4, a, b), (4, b, 0)]
+    assert sorted(zip(row.tolist(), context.tolist(), word.tolist())) == sorted(want)
