@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -108,3 +110,25 @@ def test_empty_table_and_clashing_columns(spark):
     assert align.cross_tokenizer_alignment(empty).count() == 0
     clash = spark.createDataFrame([(1, "the cat", 1, 2, "x"), (2, "the dog", 3, 4, "y")], "doc_id bigint, text string, a long, _row long, count string")
     assert result(align.cross_tokenizer_alignment(clash)) == brute([(1, "the cat"), (2, "the dog")])
+
+
+PIECES = ["a", "the", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "é", "ё", "日", "🙂", "\u00a0", "\u2003", "\u0085", "\u2581", "'s", "12", "<|endoftext|>", "</s>", "\u200b", "\0", "”", "\u0301", "."]
+
+
+def test_parts_give_the_tokens_of_whole_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert result(align.cross_tokenizer_alignment(docs)) == brute(rows)
+
+
+def test_repeated_words_are_tokenized_once():
+    parts, given = align.Parts(align.Aligner()), []
+    tokens = parts.aligner.tokens
+    parts.aligner.tokens = lambda texts, inner: given.extend(texts) or tokens(texts, inner)
+    words = ["Wort", "mañana", "the", "x9,", "l'été"]
+    spaced = pa.array([" " + " ".join(words[i:] + words[:i]) + "\n" + words[i] for i in range(5)] * 400, pa.large_string())
+    data = align.np.frombuffer(spaced.buffers()[2], dtype=align.np.uint8)
+    found = parts.aligner.parts(data, align.np.frombuffer(spaced.buffers()[1], dtype=align.np.int64))
+    assert parts.of(found)["spelled"].all() and len(found.start) == 2000 * 7
+    assert sum(map(len, given)) < 200
