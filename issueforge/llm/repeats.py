@@ -20,7 +20,9 @@ ever exchanged:
 4. Neighbourhoods met once may still share strings with others of the same anchor.  Only their
    anchors' distinct neighbourhoods are exchanged, as bytes, and compared string by string in the
    task that holds the anchor; each gets a 101-bit mask of the strings it shares.  An anchor of over
-   GROUP neighbourhoods is not gathered: its strings' fingerprints are counted natively.
+   GROUP neighbourhoods is not gathered: the bytes under BLOCK neighbouring strings are counted natively
+   (where they occur twice, all these strings are repeats), then the strings, of which only those in
+   blocks met once are looked up.
 5. Masks go back to the places by a join and are gathered per document, which is bounded by the
    document's length: the removed bytes, their maximal runs and the digest of what is left.
 
@@ -48,6 +50,7 @@ WINDOW = 200
 GRAM = 100  # bytes of an anchor gram; WINDOW - GRAM + 1 grams make one string
 REACH = WINDOW - GRAM  # a string over an anchor starts at most so far before it
 GROUP = 4096  # distinct neighbourhoods of one anchor compared in a task
+BLOCK = 10  # neighbouring strings counted as one where an anchor has more
 
 _B1, _B2, _BG = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd bases of the polynomial hashes
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -161,8 +164,11 @@ def _neighbourhood_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         )
 
 
-def strings_of(before: np.ndarray, near: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inside, h1, h2) of the strings of some neighbourhoods, by neighbourhood and bytes in front of the gram (0 to REACH)."""
+def strings_of(before: np.ndarray, near: pa.Array, block: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, h1, h2) of the strings of some neighbourhoods, by neighbourhood and bytes in front of the gram (0 to REACH).
+
+    With ``block``: of the bytes under so many strings next to each other, a column each.
+    """
     width = REACH + WINDOW
     sizes = np.asarray(pa.compute.binary_length(near), dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -171,18 +177,32 @@ def strings_of(before: np.ndarray, near: pa.Array) -> tuple[np.ndarray, np.ndarr
     laid = np.zeros(len(near) * width, dtype=np.uint64)
     laid[np.arange(len(data)) + np.repeat(first - (ends - sizes), sizes)] = data
     laid = laid.reshape(-1, width)
+    least, most = _blocks(block)
+    low, high = REACH - most, REACH - least + WINDOW
     hashes = []
     for base in (_B1, _B2):
         powers = np.cumprod(np.append(np.uint64(1), np.full(width - 1, base, dtype=np.uint64)), dtype=np.uint64)
         back = np.cumprod(np.append(np.uint64(1), np.full(REACH, pow(base, -1, 1 << 64), dtype=np.uint64)), dtype=np.uint64)
         prefix = np.zeros((len(near), width + 1), dtype=np.uint64)
         np.cumsum(laid * powers, axis=1, dtype=np.uint64, out=prefix[:, 1:])
-        hashes.append(_mix((prefix[:, WINDOW:] - prefix[:, : REACH + 1]) * back)[:, ::-1])
-    ahead = np.arange(REACH + 1)[None, :]
-    inside = (ahead <= before[:, None]) & (WINDOW - ahead <= (sizes - before)[:, None])
+        hashes.append(_mix((prefix[:, high] - prefix[:, low]) * back[low]))
+    inside = (most <= before[:, None]) & (WINDOW - least <= (sizes - before)[:, None])
     return inside, *hashes
 
 
+def _blocks(block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest number of bytes in front of the gram, of each block of strings."""
+    least = np.arange(0, REACH + 1, block)
+    return least, np.minimum(least + block - 1, REACH)
+
+
+def _masks(block: int) -> tuple[list[int], list[int]]:
+    """The two halves of the mask of each block of strings."""
+    bits = [((2 << int(b)) - (1 << int(a))) for a, b in zip(*_blocks(block))]
+    halves = [np.array([x >> shift & (1 << 64) - 1 for x in bits], dtype=np.uint64).view(np.int64).tolist() for shift in (0, 64)]
+    return halves[0], halves[1]
+
+
 def _twice(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether each of the 128-bit values occurs more than once."""
     order = np.argsort(h1)
@@ -232,16 +252,26 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared(held)
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprints of all strings of neighbourhoods, one row each."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, GROUP):
-            rows = batch.slice(start, GROUP)
-            inside, h1, h2 = strings_of(np.asarray(rows.column("before")), rows.column("near"))
-            at, ahead = np.nonzero(inside)
-            columns = [rows.column(c).take(pa.array(at)) for c in ("h", "n1", "n2", "k")]
-            values = [pa.array(ahead), *(pa.array(x[at, ahead].view(np.int64)) for x in (h1, h2))]
-            yield pa.record_batch([*columns, *values], names=["h", "n1", "n2", "k", "ahead", "h1", "h2"])
+def _string_rows(block: int):
+    """The fingerprints of all strings (or blocks of them) of neighbourhoods, one row each.
+
+    ``asks``: whether the verdict is wanted, as the neighbourhood was met once and ``low``, ``high`` do not name them.
+    """
+    masks = [np.array(x, dtype=np.int64) for x in _masks(block)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUP):
+                rows = batch.slice(start, GROUP)
+                inside, h1, h2 = strings_of(np.asarray(rows.column("before")), rows.column("near"), block)
+                at, place = np.nonzero(inside)
+                told = [np.asarray(rows.column(c))[at] & m[place] for c, m in zip(("low", "high"), masks)]
+                asks = (np.asarray(rows.column("k"))[at] == 1) & (told[0] | told[1] == 0)
+                columns = [rows.column(c).take(pa.array(at)) for c in ("h", "n1", "n2")]
+                values = [pa.array(place), *(pa.array(x[at, place].view(np.int64)) for x in (h1, h2))]
+                yield pa.record_batch([*columns, pa.array(asks), *values], names=["h", "n1", "n2", "asks", "place", "h1", "h2"])
+
+    return run
 
 
 def starts_of(positions: list[int], low: list[int], high: list[int], size: int) -> np.ndarray:
@@ -277,14 +307,22 @@ def _report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(near: DataFrame, names: list[str]) -> DataFrame:
     """The masks of ``_shared_rows`` for anchors of very many neighbourhoods: their strings counted by Spark."""
-    columns = "h long, n1 long, n2 long, k long, ahead long, h1 long, h2 long"
-    strings = near.mapInArrow(_string_rows, columns)  # read twice, as they would take more room than their bytes
-    key = ["h", "ahead", "h1", "h2"]
-    again = strings.groupBy(*key).count().filter("count > 1").select(*key)
-    hits = strings.filter("k = 1").join(again, key, "left_semi")
-    bit = F.expr("shiftleft(1L, cast(ahead % 64 as int))")
-    half = lambda which: F.bit_or(F.when(which, bit).otherwise(F.lit(0).cast("long")))
-    return hits.groupBy(*names).agg(half(F.col("ahead") < 64).alias("low"), half(F.col("ahead") >= 64).alias("high"))
+    key = ["h", "place", "h1", "h2"]
+
+    def shared(rows: DataFrame, block: int) -> DataFrame:
+        columns = "h long, n1 long, n2 long, asks boolean, place long, h1 long, h2 long"
+        strings = rows.mapInArrow(_string_rows(block), columns)  # read twice, as they would take more room than their bytes
+        again = strings.groupBy(*key).count().filter("count > 1").select(*key)
+        hits = strings.filter("asks").join(again, key, "left_semi")
+        half = lambda masks: F.bit_or(F.element_at(F.array(*(F.lit(x).cast("long") for x in masks)), F.col("place").cast("int") + 1))
+        low, high = _masks(block)
+        return hits.groupBy(*names).agg(half(low).alias("low"), half(high).alias("high"))
+
+    none = F.lit(0).cast("long")
+    blocks = stage(shared(near.withColumn("low", none).withColumn("high", none), BLOCK), "repeats-blocks")
+    told = near.join(blocks, names, "left").withColumn("low", F.coalesce("low", none)).withColumn("high", F.coalesce("high", none))
+    strings = stage(shared(stage(told, "repeats-wide", compression="zstd"), 1), "repeats-strings")
+    return blocks.unionByName(strings).groupBy(*names).agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"))
 
 
 def repeated_strings(docs: DataFrame, group: int = GROUP) -> DataFrame:

@@ -99,3 +99,20 @@ def test_near_copies_store_neighbourhoods_not_strings(spark, monkeypatch):
     written.clear()
     assert result(repeats.repeated_strings(docs, group=2)) == want  # the counted way
     assert written["repeats-counted"].count()
+
+
+def test_very_wide_anchors_look_up_few_strings(spark, monkeypatch):
+    """Many texts that share the strings of a passage's end: blocks of strings are found, the rest looked up."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passage = text(60)
+    rows = [(i, f"{text(9)} {passage} {text(40)}"[rnd.randint(0, 9) :]) for i in range(40)]
+    rows += [(i, passage[-rnd.randint(200, 300) :] + text(30)) for i in range(40, 80)] + [(80, passage[:215]), (81, passage[-207:])]
+    written = {}
+    keep = repeats.stage
+    monkeypatch.setattr(repeats, "stage", lambda df, name, **options: written.setdefault(name, keep(df, name, **options)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert result(repeats.repeated_strings(docs, group=2)) == brute(rows)
+    ones = lambda name: sum((r["low"] % 2**64).bit_count() + (r["high"] % 2**64).bit_count() for r in written[name].collect())
+    found, rest = ones("repeats-blocks"), ones("repeats-strings")
+    assert found > 4 * rest > 0
